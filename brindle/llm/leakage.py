@@ -111,7 +111,7 @@ def shared_grams(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str,
             for b in batches:
                 doc = b["doc"].to_numpy()
                 hits = grams.value.scan(b["text"].tolist())
-                yield pd.DataFrame({"doc": [doc[h[0]] for h in hits], "item": [h[3] for h in hits], "n_words": [h[1] for h in hits], "word": [h[2] for h in hits]})
+                yield pd.DataFrame({"doc": [doc[h[0]] for h in hits], "item": [h[3] for h in hits], "n_words": [h[1] for h in hits], "word": [h[2] for h in hits]}, dtype=object)
 
         one = rows.mapInPandas(run, f"doc {kind}, item {item_kind}, n_words int, word int")
         out = one if out is None else out.unionByName(one)

@@ -5,9 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, leakage, qdigest, topn
+from fractions import Fraction
+
+from brindle.llm import bpe, cf, leakage, qdigest, setjoin, topn
 from brindle.session import table
 
+
+# ---- 2 and 4: features of the unknown elements ---------------------------------------------------------------
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """(ie_id, feature_id, feat_value): distinct positive features of each unknown element."""
+    rows = table(spark, d, "ie_rep_rows_c6960_unk").where("ie_id is not null and matrix_row is not null").select("ie_id", F.col("matrix_row").alias("row_id")).distinct()
+    vals = table(spark, d, "feature_long").where("feat_value > 0 and not isnan(feat_value) and feature_id is not null").select("row_id", "feature_id", "feat_value")
+    return vals.join(rows, "row_id").select("ie_id", "feature_id", "feat_value")
+
+
+# ---- 3: similar genomes --------------------------------------------------------------------------------------
+def accessions(spark: SparkSession, d: str) -> DataFrame:
+    """(genome_id, acc): the Pfam accessions of each genome, upper case and without version."""
+    rows = table(spark, d, "parsed_cds").where("genome_id is not null and pfam_id is not null").select("genome_id", "pfam_id").distinct()
+    acc = F.regexp_replace(F.upper(F.regexp_replace("x", r"(?U)^\s+|\s+$", "")), r"\.\d+$", "")
+    out = rows.select("genome_id", F.explode(F.split("pfam_id", "[|,;]")).alias("x")).select("genome_id", acc.alias("acc"))
+    return out.where(~F.col("acc").isin("", "-", "NAN"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_pairs(accessions(spark, d), "genome_id", "acc", Fraction(3, 4), 6).select(F.col("a").alias("genome_a"), F.col("b").alias("genome_b"))
+
+
+P3 = r"""WITH a AS (SELECT DISTINCT genome_id AS g, regexp_replace(upper(regexp_replace(x, '^\s+|\s+$', '', 'g')), '\.\d+$', '') AS t
+    FROM (SELECT genome_id, unnest(regexp_split_to_array(pfam_id, '[|,;]')) AS x FROM parsed_cds WHERE genome_id IS NOT NULL)),
+  s AS (SELECT g, t FROM a WHERE t NOT IN ('', '-', 'NAN')),
+  k AS (SELECT g, count(*) AS n FROM s GROUP BY g HAVING count(*) >= 6),
+  o AS (SELECT x.g AS ga, y.g AS gb, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.g < y.g GROUP BY ALL)
+SELECT ga AS genome_a, gb AS genome_b FROM o JOIN k p ON p.g = ga JOIN k q ON q.g = gb WHERE 4 * c >= 3 * (p.n + q.n - c)"""
+
+
+# ---- 4: clusters ---------------------------------------------------------------------------------------------
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return cf.cluster_members(features(spark, d), "ie_id", "feature_id", Fraction(3, 5), 5).select(F.col("key").alias("ie_id"), "cluster_key")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cf.cluster_profiles(features(spark, d), "ie_id", "feature_id", Fraction(3, 5), 5)
+
+
+P4 = """WITH RECURSIVE v AS (SELECT DISTINCT r.ie_id AS i, f.feature_id AS t FROM ie_rep_rows_c6960_unk r JOIN feature_long f ON f.row_id = r.matrix_row
+    WHERE f.feat_value > 0 AND NOT isnan(f.feat_value) AND r.ie_id IS NOT NULL AND f.feature_id IS NOT NULL),
+  k AS (SELECT i, count(*) AS n FROM v GROUP BY i HAVING count(*) >= 5),
+  o AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM v x JOIN v y ON x.t = y.t AND x.i <> y.i GROUP BY ALL),
+  e AS MATERIALIZED (SELECT a, b FROM o JOIN k p ON p.i = a JOIN k q ON q.i = b WHERE 5 * c >= 3 * (p.n + q.n - c)),
+  w(i, j) AS (SELECT a, a FROM e UNION SELECT w.i, e.b FROM w JOIN e ON e.a = w.j)
+SELECT i AS ie_id, min(j) AS cluster_key FROM w GROUP BY i"""
+
 # ---- 5: percentiles ------------------------------------------------------------------------------------------
 Q = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 
@@ -52,5 +101,5 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
-ORACLE = {"p7_found": P7}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+ORACLE = {"p3_found": P3, "p4_found": P4, "p7_found": P7}
