@@ -91,7 +91,7 @@ class Leaves:
     def rows(self) -> pd.DataFrame:
         if len(self.n) > self.cap:
             self.trim()
-        return pd.DataFrame({"n": self.n, "tokens": [list(s) for s in self.sums], "counts": [list(s.values()) for s in self.sums]})
+        return pd.DataFrame({"n": self.n, "tokens": [list(s) for s in self.sums], "counts": [list(s.values()) for s in self.sums]}, dtype=object)
 
 
 def leaf_summaries(groups: DataFrame) -> pd.DataFrame:
