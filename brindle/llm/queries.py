@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fractions import Fraction
 
-from brindle.llm import bpe, cf, leakage, qdigest, setjoin, topn
+from brindle.llm import bpe, cf, knn, leakage, qdigest, setjoin, topn
 from brindle.session import table
 
 
@@ -19,6 +19,20 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return vals.join(rows, "row_id").select("ie_id", "feature_id", "feat_value")
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """(ie_id, other, similarity): the at most 5 most similar others of each element, from 0.85 upwards."""
+    rows = table(spark, d, "feature_long").where("row_id is not null").select("row_id", "feature_id", "feat_value")
+    by_row = knn.vectors(rows, "row_id", "feature_id", "feat_value", 5)
+    names = table(spark, d, "ie_rep_rows_c6960_unk").where("ie_id is not null and matrix_row is not null").select("ie_id", F.col("matrix_row").alias("key")).distinct()
+    vecs = by_row.join(names, "key").select(F.col("ie_id").alias("key"), "features", "vals")
+    return knn.neighbours_of(vecs, 5, 0.85).withColumnRenamed("key", "ie_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p2_neighbours(spark, d)
+    return pairs.select(F.least("ie_id", "other").alias("ie_a"), F.greatest("ie_id", "other").alias("ie_b")).distinct()
+
+
 # ---- 3: similar genomes --------------------------------------------------------------------------------------
 def accessions(spark: SparkSession, d: str) -> DataFrame:
     """(genome_id, acc): the Pfam accessions of each genome, upper case and without version."""
@@ -101,5 +115,5 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 ORACLE = {"p3_found": P3, "p4_found": P4, "p7_found": P7}
