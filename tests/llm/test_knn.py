@@ -14,7 +14,7 @@ def data(n=420, seed=2):
     for i in range(n):
         if base and r.random() < 0.75:
             v = {f: x * r.choice([1, 1, 1.1, 0.8]) for f, x in r.choice(base).items()}
-            if r.random() < 0.5:
+            if len(v) > 3 and r.random() < 0.5:
                 v.pop(r.choice(sorted(v)))
         else:
             v = {f"f{r.randint(0, 400)}": r.random() + 0.1 for _ in range(r.randint(3, 14))}
