@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def log_poisson_sf(k: float, mean: float) -> float:
@@ -57,12 +58,12 @@ def fisher_greater(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, math.exp(log_p + math.log(total)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def poisson_sf_udf(k: pd.Series, mean: pd.Series) -> pd.Series:
     return pd.Series([None if np.isnan(a) or np.isnan(m) else poisson_sf(a, m) for a, m in zip(k, mean)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_greater_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_greater(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)], dtype="float64")
 
