@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fractions import Fraction
 
-from brindle.llm import bpe, cf, knn, leakage, qdigest, setjoin, topn
+from brindle.llm import bpe, cf, knn, leakage, qdigest, setjoin, topn, truncation
 from brindle.session import table
 
 
@@ -115,5 +115,14 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+# ---- 10: truncation ------------------------------------------------------------------------------------------
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, d, "documents"))
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_report": p10_report}
 ORACLE = {"p3_found": P3, "p4_found": P4, "p7_found": P7}
