@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,31 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The shuffle width the session was sized for; everything that needs a number of buckets scales with it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder. Against ``cut`` it is compressed, its repeated values are
+    dictionary-encoded and later reads take only the columns they need. ``release`` deletes the tables; so does the
+    end of the Python process."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete what ``cut_table`` wrote; frames that still read it can't be used any more."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            return
