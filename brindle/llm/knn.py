@@ -25,17 +25,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut, partitions
+from brindle.session import cut_table, partitions
 
 DIMS = 64
 SAMPLE = 32_768
-OCCUPANCY = 128  # vectors wanted in a leaf
+OCCUPANCY = 256  # vectors wanted in a leaf
 BRANCH = 32
 VISITS = 16  # leaves a query may visit
-RECALL = 0.995
+RECALL = 0.98
 CELL = 1_200
+CHUNK = 1_000  # queries that are searched at once
 QUERIES = 3_000  # sample vectors whose neighbours calibrate the margin
-MARGINS = (0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.18, 0.22, 0.26, 0.3, 0.4, 0.55)
+MARGINS = (0.0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.18, 0.22, 0.26, 0.3, 0.4, 0.55)
 
 
 def project(features: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
@@ -73,6 +74,11 @@ class Tree:
         self._grow(0, x, leaf_size, np.random.default_rng(seed))
         self.c = np.array(self.centres, dtype=np.float32)
         self.leaf_no = np.array(self.leaf)
+        self.width = max((len(k) for k in self.children if k is not None), default=0)
+        self.kids = np.full((len(self.children), self.width), -1, dtype=np.int64)
+        for v, k in enumerate(self.children):
+            if k is not None:
+                self.kids[v, : len(k)] = k
 
     def _grow(self, v: int, x: np.ndarray, leaf_size: int, rng: np.random.Generator) -> None:
         k = min(BRANCH, -(-len(x) // max(1, leaf_size)))
@@ -94,40 +100,43 @@ class Tree:
 
         Every query has its own priority queue, a row of ``key``; a round takes the nearest node of each queue and
         either visits it (a leaf) or puts its children in."""
+        parts = [self._search(x[i : i + CHUNK], margin, visits) for i in range(0, len(x), CHUNK)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _search(self, x: np.ndarray, margin: float, visits: int) -> tuple[np.ndarray, np.ndarray]:
         b = len(x)
+        gap = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ self.c.T + (self.c**2).sum(1)))
         key, node = np.zeros((b, 1), np.float32), np.zeros((b, 1), np.int64)
         out, dist = np.full((b, visits), -1, np.int64), np.full((b, visits), np.inf, np.float32)
         done = np.zeros(b, np.int64)
         live = np.arange(b)
         while len(live):
-            best = key[live].argmin(1)
-            d, v = key[live, best], node[live, best]
+            queue = key[live]
+            best = queue.argmin(1)
+            d, v = queue[np.arange(len(live)), best], node[live, best]
             key[live, best] = np.inf
             first = np.where(done[live] > 0, dist[live, 0], np.inf)
             go = np.isfinite(d) & (d <= first + margin)
             live, d, v = live[go], d[go], v[go]
             leaf = self.leaf_no[v]
-            at = live[leaf >= 0]
-            out[at, done[at]], dist[at, done[at]] = leaf[leaf >= 0], d[leaf >= 0]
+            is_leaf = leaf >= 0
+            at = live[is_leaf]
+            out[at, done[at]], dist[at, done[at]] = leaf[is_leaf], d[is_leaf]
             done[at] += 1
-            inner = leaf < 0
-            if inner.any():
-                width = max(len(self.children[u]) for u in np.unique(v[inner]))
-                key = np.pad(key, ((0, 0), (0, width)), constant_values=np.inf)
-                node = np.pad(node, ((0, 0), (0, width)))
-                for u in np.unique(v[inner]):
-                    q, kids = live[inner & (v == u)], self.children[u]
-                    c = self.c[kids]
-                    gap = np.sqrt(np.maximum(0, (x[q] ** 2).sum(1)[:, None] - 2 * x[q] @ c.T + (c * c).sum(1)))
-                    lo = key.shape[1] - width
-                    key[np.ix_(q, np.arange(lo, lo + len(kids)))] = gap
-                    node[np.ix_(q, np.arange(lo, lo + len(kids)))] = kids
+            q = live[~is_leaf]
+            if len(q):
+                kids = self.kids[v[~is_leaf]]
+                more = np.full((b, self.width), np.inf, np.float32)
+                more[q] = np.where(kids >= 0, gap[q[:, None], kids], np.inf)
+                names = np.zeros((b, self.width), np.int64)
+                names[q] = kids
+                key, node = np.concatenate([key, more], axis=1), np.concatenate([node, names], axis=1)
             live = live[done[live] < visits]
         return out, dist
 
 
-def exact_neighbours(features: list[np.ndarray], values: list[np.ndarray], queries: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """(query, other) of similarity ``least`` or more within the sample, by an inverted index."""
+def exact_neighbours(features: list[np.ndarray], values: list[np.ndarray], queries: np.ndarray, least: float, k: int) -> list[tuple[int, int]]:
+    """(query, other) of the k most similar others of similarity ``least`` or more within the sample, by an inverted index."""
     sizes = np.array([len(f) for f in features])
     flat, owner = np.concatenate(features), np.repeat(np.arange(len(features)), sizes)
     w = np.concatenate([v / np.sqrt((v * v).sum()) for v in values])
@@ -140,7 +149,9 @@ def exact_neighbours(features: list[np.ndarray], values: list[np.ndarray], queri
         for f, v in zip(features[q].tolist(), w[starts[q] : starts[q + 1]].tolist()):
             a, b = np.searchsorted(flat, f, "left"), np.searchsorted(flat, f, "right")
             score[owner[a:b]] += v * ws[a:b]
-        out += [(q, o) for o in np.flatnonzero(score >= least).tolist() if o != q]
+        score[q] = 0
+        near = np.flatnonzero(score >= least)
+        out += [(q, o) for o in near[np.argsort(-score[near], kind="stable")][:k].tolist()]
     return out
 
 
@@ -215,9 +226,9 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
     """As ``neighbours``, for a table (key, features, vals)."""
     spark = vecs.sparkSession
     sc = spark.sparkContext
-    vecs = cut(vecs.withColumn("cls", F.concat_ws("_", F.xxhash64("features", "vals"), F.hash("vals", "features"))))
+    vecs = cut_table(vecs.withColumn("cls", F.concat_ws("_", F.xxhash64("features", "vals"), F.hash("vals", "features"))))
     kind = dict(vecs.dtypes)["key"]
-    groups = cut(vecs.groupBy("cls").agg(F.min(F.struct("key", "features", "vals")).alias("m")).select("cls", F.col("m.key").alias("rep"), "m.features", "m.vals"))
+    groups = cut_table(vecs.groupBy("cls").agg(F.min(F.struct("key", "features", "vals")).alias("m")).select("cls", F.col("m.key").alias("rep"), "m.features", "m.vals"))
     n = groups.count()
     step = max(1, -(-n // SAMPLE))
     sample = groups.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(step)) == 0).select("features", "vals").limit(2 * SAMPLE).toPandas()
@@ -227,7 +238,7 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
     x = project(fs, vs)
     tree = Tree(x, max(8, OCCUPANCY * len(x) // n))
     queries = np.random.default_rng(3).permutation(len(x))[:QUERIES]
-    margin, _ = calibrate(tree, x, exact_neighbours(fs, vs, queries, least))
+    margin, _ = calibrate(tree, x, exact_neighbours(fs, vs, queries, least, k))
     known = sc.broadcast((tree, margin))
     del sample, fs, vs, x
 
@@ -241,7 +252,7 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
             yield pd.DataFrame({**{c: b[c].to_numpy()[at] for c in ("rep", "features", "vals")}, "cell": leaves[at, visit], "home": visit == 0})
 
     placed = groups.select("rep", "features", "vals").mapInPandas(place, f"rep {kind}, features array<bigint>, vals array<double>, cell int, home boolean")
-    rows = cut(placed)
+    rows = cut_table(placed)
     large = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CELL).select("cell", F.ceil(F.col("c") / CELL).cast("int").alias("blocks"))
     rows = rows.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
@@ -268,7 +279,7 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
     # the k nearest classes of each class, their first names, and the class's own
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k)
     names = vecs.select("cls", "key").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where(F.col("r") <= k + 1)
-    names = cut(names.join(groups.select("cls", "rep"), "cls").select("rep", "cls", F.col("key").alias("name")))
+    names = cut_table(names.join(groups.select("cls", "rep"), "cls").select("rep", "cls", F.col("key").alias("name")))
     others = near.join(names.select(F.col("rep").alias("b"), "name"), "b").select("a", "name", "sim")
     own = names.select(F.col("rep").alias("a"), "name", F.lit(1.0).alias("sim"))
     first = others.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "name"))).where(F.col("r") <= k + 1)
