@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.setjoin import Pivots, classes, frequent_tokens, join_cells, place, sets
+from brindle.llm.setjoin import Pivots, classes, frequent_tokens, join_cells, place
 from brindle.operators.graph import connected_components
-from brindle.session import cut
+from brindle.session import cut_table
 
 LEAVES = 2_048  # leaves of a tree, at most
 ABSORB = 0.72  # cosine to a leaf's centroid from which it takes a record
@@ -182,28 +182,28 @@ def _records(leaves: pd.DataFrame) -> list[float]:
     return [max(c) if len(c) else 0 for c in leaves["counts"]]
 
 
-def chain_clusters(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, groups, labels): the sets, their classes, and (rep, cluster_key) of each class."""
-    records = cut(sets(tokens, key, token, least))
-    groups = cut(classes(records))
-    links = cut(join_cells(cut(assigned(groups, threshold)), threshold, links_only=True))
+def chain_clusters(records: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(records, labels) of a table (key, tokens): labels has (rep, tokens, n, cluster_key) of each class."""
+    records = cut_table(records)
+    groups = cut_table(classes(records))
+    links = cut_table(join_cells(cut_table(assigned(groups, threshold)), threshold, links_only=True))
     parts = connected_components(links, "a", "b")
     labels = groups.join(parts, groups.rep == parts.node, "left").select("rep", "tokens", "n", F.coalesce("component", "rep").alias("cluster_key"))
-    return records, groups, labels
+    return records, labels
 
 
-def cluster_members(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int) -> DataFrame:
-    """(key, cluster_key) of every record of a cluster of two or more."""
-    records, _, labels = chain_clusters(tokens, key, token, threshold, least)
+def cluster_members(records: DataFrame, threshold: Fraction) -> DataFrame:
+    """(key, cluster_key) of every record, of a table (key, tokens) as ``setjoin.sets`` gives it, in a cluster of two or more."""
+    records, labels = chain_clusters(records, threshold)
     sizes = labels.groupBy("cluster_key").agg(F.sum("n").alias("size")).where("size > 1")
     kept = labels.join(sizes.select("cluster_key"), "cluster_key", "left_semi").select(F.col("tokens").alias("t"), "cluster_key", F.xxhash64("tokens").alias("h"))
     return records.withColumn("h", F.xxhash64("tokens")).join(kept, "h").where(F.col("tokens") == F.col("t")).select("key", "cluster_key")
 
 
-def cluster_profiles(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int, typical: int = 3) -> DataFrame:
+def cluster_profiles(records: DataFrame, threshold: Fraction, typical: int = 3) -> DataFrame:
     """(cluster_key, size, n_distinct, typical): size and the members nearest to the centroid, equal ones by smaller key."""
-    _, _, labels = chain_clusters(tokens, key, token, threshold, least)
-    labels = cut(labels)
+    _, labels = chain_clusters(records, threshold)
+    labels = cut_table(labels)
     size = labels.groupBy("cluster_key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("n_distinct")).where("size > 1")
     long = labels.select("cluster_key", "rep", "n", F.size("tokens").alias("k"), F.explode("tokens").alias("t"))
     centroid = long.groupBy("cluster_key", "t").agg(F.sum("n").alias("c"))

@@ -12,19 +12,22 @@ from brindle.session import table
 
 
 # ---- 2 and 4: features of the unknown elements ---------------------------------------------------------------
-def features(spark: SparkSession, d: str) -> DataFrame:
-    """(ie_id, feature_id, feat_value): distinct positive features of each unknown element."""
-    rows = table(spark, d, "ie_rep_rows_c6960_unk").where("ie_id is not null and matrix_row is not null").select("ie_id", F.col("matrix_row").alias("row_id")).distinct()
-    vals = table(spark, d, "feature_long").where("feat_value > 0 and not isnan(feat_value) and feature_id is not null").select("row_id", "feature_id", "feat_value")
-    return vals.join(rows, "row_id").select("ie_id", "feature_id", "feat_value")
+def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(ie_id, key): the matrix rows of the unknown elements; repeated deliveries count once."""
+    return table(spark, d, "ie_rep_rows_c6960_unk").where("ie_id is not null and matrix_row is not null").select("ie_id", F.col("matrix_row").alias("key")).distinct()
+
+
+def feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(key, tokens) of each unknown element; sets are built by matrix row, before the long names come in."""
+    rows = table(spark, d, "feature_long").where("feat_value > 0 and not isnan(feat_value)").select("row_id", "feature_id")
+    return setjoin.sets(rows, "row_id", "feature_id", 5).join(matrix_rows(spark, d), "key").select(F.col("ie_id").alias("key"), "tokens")
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """(ie_id, other, similarity): the at most 5 most similar others of each element, from 0.85 upwards."""
     rows = table(spark, d, "feature_long").where("row_id is not null").select("row_id", "feature_id", "feat_value")
     by_row = knn.vectors(rows, "row_id", "feature_id", "feat_value", 5)
-    names = table(spark, d, "ie_rep_rows_c6960_unk").where("ie_id is not null and matrix_row is not null").select("ie_id", F.col("matrix_row").alias("key")).distinct()
-    vecs = by_row.join(names, "key").select(F.col("ie_id").alias("key"), "features", "vals")
+    vecs = by_row.join(matrix_rows(spark, d), "key").select(F.col("ie_id").alias("key"), "features", "vals")
     return knn.neighbours_of(vecs, 5, 0.85).withColumnRenamed("key", "ie_id")
 
 
@@ -56,11 +59,11 @@ SELECT ga AS genome_a, gb AS genome_b FROM o JOIN k p ON p.g = ga JOIN k q ON q.
 
 # ---- 4: clusters ---------------------------------------------------------------------------------------------
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return cf.cluster_members(features(spark, d), "ie_id", "feature_id", Fraction(3, 5), 5).select(F.col("key").alias("ie_id"), "cluster_key")
+    return cf.cluster_members(feature_sets(spark, d), Fraction(3, 5)).select(F.col("key").alias("ie_id"), "cluster_key")
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cf.cluster_profiles(features(spark, d), "ie_id", "feature_id", Fraction(3, 5), 5)
+    return cf.cluster_profiles(feature_sets(spark, d), Fraction(3, 5))
 
 
 P4 = """WITH RECURSIVE v AS (SELECT DISTINCT r.ie_id AS i, f.feature_id AS t FROM ie_rep_rows_c6960_unk r JOIN feature_long f ON f.row_id = r.matrix_row

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import cut, partitions
+from brindle.session import cut_table, partitions
 
 SAMPLE = 16_384  # sets of which pivots are chosen
 FREQUENT = 4_096  # tokens known as frequent, at most
@@ -223,7 +223,7 @@ def similar_classes(groups: DataFrame, threshold: Fraction, rho: float = 0.5) ->
     """Distinct (a, b, shared) of the similar pairs of classes."""
     n = groups.count()
     pivots = sample_pivots(groups, n, float(1 - threshold))
-    placed = cut(place(groups, pivots, frequent_tokens(groups, n), threshold, rho))
+    placed = cut_table(place(groups, pivots, frequent_tokens(groups, n), threshold, rho))
     return join_cells(placed, threshold)
 
 
@@ -235,8 +235,8 @@ def members(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def similar_pairs(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int = 1) -> DataFrame:
     """Distinct (a, b), a < b, of all keys whose sets have at least ``least`` tokens and a Jaccard similarity of ``threshold`` or more."""
-    records = cut(sets(tokens, key, token, least))
-    groups = cut(classes(records))
+    records = cut_table(sets(tokens, key, token, least))
+    groups = cut_table(classes(records))
     pairs = similar_classes(groups, threshold).select("a", "b")
     several = members(records, groups)
     for side in ("a", "b"):

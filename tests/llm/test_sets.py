@@ -64,8 +64,8 @@ def test_chain_clusters(spark):
         sizes[v] = sizes.get(v, 0) + 1
     want = {(k, v) for k, v in group.items() if sizes[v] > 1}
     df = spark.createDataFrame(rows, "key string, feature string, cluster_key string").repartition(9)
-    assert {tuple(x) for x in cf.cluster_members(df, "key", "feature", Fraction(3, 5), least).collect()} == want
-    profiles = cf.cluster_profiles(df, "key", "feature", Fraction(3, 5), least).collect()
+    assert {tuple(x) for x in cf.cluster_members(setjoin.sets(df, "key", "feature", least), Fraction(3, 5)).collect()} == want
+    profiles = cf.cluster_profiles(setjoin.sets(df, "key", "feature", least), Fraction(3, 5)).collect()
     assert {(x.cluster_key, x["size"]) for x in profiles} == {(v, n) for v, n in sizes.items() if n > 1}
     assert all(set(x.typical) <= {k for k, v in want if v == x.cluster_key} and 1 <= len(x.typical) <= 3 for x in profiles)
 
@@ -73,7 +73,7 @@ def test_chain_clusters(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, t string")
     assert setjoin.similar_pairs(df, "k", "t", Fraction(3, 4), 2).count() == 0
-    assert cf.cluster_members(df, "k", "t", Fraction(3, 5), 2).count() == 0
+    assert cf.cluster_members(setjoin.sets(df, "k", "t", 2), Fraction(3, 5)).count() == 0
 
 
 def test_leaves_merge_adds_features():
