@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fractions import Fraction
 
-from brindle.llm import bpe, cf, knn, leakage, qdigest, setjoin, topn, truncation
+from brindle.llm import bpe, cf, knn, leakage, qdigest, setjoin, spelling, topn, truncation
 from brindle.session import table
 
 
@@ -93,6 +93,20 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return qdigest.percentiles(p5_digests(spark, d), ["measure", "grp"], Q)
 
 
+# ---- 6: names ------------------------------------------------------------------------------------------------
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.canonical(table(spark, d, "parsed_cds"), "locus_tag", "product", table(spark, d, "product_catalog"), "product_id", "canonical_name")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).select("locus_tag", "product_id").distinct()
+
+
+def p6_misses(spark: SparkSession, d: str) -> DataFrame:
+    """(product, n): names that mean no entry, and how many loci bear them."""
+    return _named(spark, d).where("product_id = -1").distinct().groupBy("product").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- 7: top N ------------------------------------------------------------------------------------------------
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "cluster_pfam_markers_c6960_unk").where("leiden_cluster <> -1")
@@ -127,5 +141,5 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p6_found": p6_found, "p6_misses": p6_misses, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_report": p10_report}
 ORACLE = {"p3_found": P3, "p4_found": P4, "p7_found": P7}
