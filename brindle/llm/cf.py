@@ -28,7 +28,8 @@ from brindle.llm.setjoin import Pivots, classes, frequent_tokens, join_cells, pl
 from brindle.operators.graph import connected_components
 from brindle.session import cut_table
 
-LEAVES = 2_048  # leaves of a tree, at most
+LEAVES = 4_096  # leaves of a tree, at most
+WARD_LEAVES = 2_048  # heaviest leaves that Ward's criterion looks at; the others stay groups of their own
 ABSORB = 0.72  # cosine to a leaf's centroid from which it takes a record
 WIDE = 256  # features of more leaves than this do not propose leaves
 FAN_IN = 8  # trees merged by one task
@@ -118,11 +119,12 @@ def leaf_summaries(groups: DataFrame) -> pd.DataFrame:
     while width > 1:
         width = -(-width // FAN_IN)
         leaves = leaves.groupBy(F.floor(F.col("part") / FAN_IN).cast("int").alias("g")).applyInPandas(merge, fields)
-    return leaves.toPandas()
+    return leaves.toPandas().sort_values("n", ascending=False, kind="stable").reset_index(drop=True)
 
 
 def ward(leaves: pd.DataFrame, cut_at: float = WARD_CUT) -> np.ndarray:
     """The Ward group of each leaf: leaves with close centroids, agglomerated in order of the variance a merge adds."""
+    everyone, leaves = len(leaves), leaves.head(WARD_LEAVES)
     m = len(leaves)
     if not m:
         return np.array([], dtype=np.int64)
@@ -165,7 +167,8 @@ def ward(leaves: pd.DataFrame, cut_at: float = WARD_CUT) -> np.ndarray:
         best[stale] = cost[stale].argmin(axis=1)
         low[stale] = cost[stale, best[stale]]
         low[b] = np.inf
-    return np.unique(group, return_inverse=True)[1]
+    groups = np.unique(group, return_inverse=True)[1]
+    return np.r_[groups, np.arange(groups.max() + 1, groups.max() + 1 + everyone - m)]
 
 
 def assigned(groups: DataFrame, threshold: Fraction) -> DataFrame:
@@ -183,32 +186,32 @@ def _records(leaves: pd.DataFrame) -> list[float]:
 
 
 def chain_clusters(records: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(records, labels) of a table (key, tokens): labels has (rep, tokens, n, cluster_key) of each class."""
+    """(records, labels) of a table (key, tokens): labels has (rep, name, n, cluster_key, size) of each class in a cluster of two or more."""
     records = cut_table(records)
     groups = cut_table(classes(records))
     links = cut_table(join_cells(cut_table(assigned(groups, threshold)), threshold, links_only=True))
     parts = connected_components(links, "a", "b")
-    labels = groups.join(parts, groups.rep == parts.node, "left").select("rep", "tokens", "n", F.coalesce("component", "rep").alias("cluster_key"))
-    return records, labels
+    labels = groups.select("rep", "name", "n").join(parts, groups.rep == parts.node, "left").select("rep", "name", "n", F.coalesce("component", "rep").alias("component"))
+    keys = labels.groupBy("component").agg(F.min("name").alias("cluster_key"), F.sum("n").alias("size")).where("size > 1")
+    return records, labels.join(keys, "component").select("rep", "name", "n", "cluster_key", "size")
 
 
 def cluster_members(records: DataFrame, threshold: Fraction) -> DataFrame:
     """(key, cluster_key) of every record, of a table (key, tokens) as ``setjoin.sets`` gives it, in a cluster of two or more."""
     records, labels = chain_clusters(records, threshold)
-    sizes = labels.groupBy("cluster_key").agg(F.sum("n").alias("size")).where("size > 1")
-    kept = labels.join(sizes.select("cluster_key"), "cluster_key", "left_semi").select(F.col("tokens").alias("t"), "cluster_key", F.xxhash64("tokens").alias("h"))
-    return records.withColumn("h", F.xxhash64("tokens")).join(kept, "h").where(F.col("tokens") == F.col("t")).select("key", "cluster_key")
+    return records.select("key", F.xxhash64("tokens").alias("rep")).join(labels.select("rep", "cluster_key"), "rep").select("key", "cluster_key")
 
 
 def cluster_profiles(records: DataFrame, threshold: Fraction, typical: int = 3) -> DataFrame:
     """(cluster_key, size, n_distinct, typical): size and the members nearest to the centroid, equal ones by smaller key."""
-    _, labels = chain_clusters(records, threshold)
+    records, labels = chain_clusters(records, threshold)
     labels = cut_table(labels)
-    size = labels.groupBy("cluster_key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("n_distinct")).where("size > 1")
-    long = labels.select("cluster_key", "rep", "n", F.size("tokens").alias("k"), F.explode("tokens").alias("t"))
+    held = labels.join(records.select(F.xxhash64("tokens").alias("rep"), "tokens").dropDuplicates(["rep"]), "rep")
+    long = held.select("cluster_key", "name", "n", F.size("tokens").alias("k"), F.explode("tokens").alias("t"))
     centroid = long.groupBy("cluster_key", "t").agg(F.sum("n").alias("c"))
-    near = long.join(centroid, ["cluster_key", "t"]).groupBy("cluster_key", "rep").agg((F.sum("c") / F.sqrt(F.first("k"))).alias("score"))
-    order = Window.partitionBy("cluster_key").orderBy(F.desc(F.round("score", 6)), "rep")
+    near = long.join(centroid, ["cluster_key", "t"]).groupBy("cluster_key", "name").agg((F.sum("c") / F.sqrt(F.first("k"))).alias("score"))
+    order = Window.partitionBy("cluster_key").orderBy(F.desc(F.round("score", 6)), "name")
     top = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= typical)
-    top = top.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "rep"))), lambda x: x["rep"]).alias("typical"))
+    top = top.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("typical"))
+    size = labels.groupBy("cluster_key").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n_distinct"))
     return size.join(top, "cluster_key").select("cluster_key", "size", "n_distinct", "typical")

@@ -11,7 +11,7 @@ Jaccard distance is a metric, so with e = 1 - threshold and pivots p the followi
 Pairs with at least one record at home are compared exactly within a cell. Pivots come from a bounded sample
 (``SAMPLE``), thinned so that no two are close; every record is placed. Equal sets are one class, compared once.
 A cell of more than ``CELL`` records is split into blocks, and each pair of blocks is a task of its own, so no
-group is held whole by one task. Tokens are compared by their 64-bit hashes.
+group is held whole by one task. Tokens and sets are told apart by their 64-bit hashes.
 
 Defined cases: null keys and tokens are left out, repeated tokens count once, sets below ``least`` tokens take no
 part, empty tables give an empty result, columns other than key and token are not read.
@@ -42,8 +42,8 @@ def sets(tokens: DataFrame, key: str, token: str, least: int) -> DataFrame:
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """(rep, tokens, n): one row for each distinct set, named by its smallest key."""
-    return records.groupBy("tokens").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"))
+    """(rep, tokens, name, n): one row for each distinct set, numbered by its hash and named by its smallest key."""
+    return records.groupBy("tokens").agg(F.min("key").alias("name"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.xxhash64("tokens"))
 
 
 @dataclass
@@ -227,21 +227,14 @@ def similar_classes(groups: DataFrame, threshold: Fraction, rho: float = 0.5) ->
     return join_cells(placed, threshold)
 
 
-def members(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rep, key) of every class of two or more."""
-    several = groups.where("n > 1").select(F.col("tokens").alias("t"), "rep", F.xxhash64("tokens").alias("h"))
-    return records.withColumn("h", F.xxhash64("tokens")).join(several, "h").where(F.col("tokens") == F.col("t")).select("rep", "key")
-
-
 def similar_pairs(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int = 1) -> DataFrame:
     """Distinct (a, b), a < b, of all keys whose sets have at least ``least`` tokens and a Jaccard similarity of ``threshold`` or more."""
     records = cut_table(sets(tokens, key, token, least))
     groups = cut_table(classes(records))
     pairs = similar_classes(groups, threshold).select("a", "b")
-    several = members(records, groups)
+    members = records.select(F.xxhash64("tokens").alias("rep"), "key")
     for side in ("a", "b"):
-        m = several.select(F.col("rep").alias(side), F.col("key").alias("k"))
-        pairs = pairs.join(m, side, "left").withColumn(side, F.coalesce("k", side)).drop("k").select("a", "b")
+        pairs = pairs.withColumnRenamed(side, "rep").join(members, "rep").drop("rep").withColumnRenamed("key", side)
+    several = members.join(groups.where("n > 1").select("rep"), "rep", "left_semi")
     own = several.alias("x").join(several.alias("y"), "rep").where(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    out = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(own)
-    return out
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(own)
