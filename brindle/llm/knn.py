@@ -8,7 +8,7 @@ RECALL of the sample's true neighbours meet in a leaf. Within a leaf similaritie
 
 Equal vectors are one class. A class keeps its k + 1 smallest names, which are all that can be among anybody's
 first k, so a hot group of copies costs no more than one vector until the last step, where each copy gets its own
-list. A leaf of more than CELL vectors is split into blocks and each pair of blocks is a task of its own. Growth
+list. A leaf of more than CELL vectors is split into blocks and each pair of blocks is a task of its own. Vectors are told apart by 64-bit hashes. Growth
 beyond some CELL * SAMPLE / 8 vectors asks for a larger SAMPLE.
 
 Defined cases: values that are null, NaN or not above zero are no features; of several values of one feature the
@@ -226,7 +226,7 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
     """As ``neighbours``, for a table (key, features, vals)."""
     spark = vecs.sparkSession
     sc = spark.sparkContext
-    vecs = cut_table(vecs.withColumn("cls", F.concat_ws("_", F.xxhash64("features", "vals"), F.hash("vals", "features"))))
+    vecs = cut_table(vecs.withColumn("cls", F.xxhash64("features", "vals")))
     kind = dict(vecs.dtypes)["key"]
     groups = cut_table(vecs.groupBy("cls").agg(F.min(F.struct("key", "features", "vals")).alias("m")).select("cls", F.col("m.key").alias("rep"), "m.features", "m.vals"))
     n = groups.count()
@@ -249,9 +249,10 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
                 continue
             leaves, _ = tree.search(project(b["features"].tolist(), b["vals"].tolist()), margin)
             at, visit = np.nonzero(leaves >= 0)
-            yield pd.DataFrame({**{c: b[c].to_numpy()[at] for c in ("rep", "features", "vals")}, "cell": leaves[at, visit], "home": visit == 0})
+            short = [f.astype(np.int32) for f in b["features"]]  # the low 32 bits: within one pair of vectors two features hardly ever share them
+            yield pd.DataFrame({"rep": b["rep"].to_numpy()[at], "features": [short[i] for i in at], "vals": b["vals"].to_numpy()[at], "cell": leaves[at, visit], "home": visit == 0})
 
-    placed = groups.select("rep", "features", "vals").mapInPandas(place, f"rep {kind}, features array<bigint>, vals array<double>, cell int, home boolean")
+    placed = groups.select("rep", "features", "vals").mapInPandas(place, f"rep {kind}, features array<int>, vals array<double>, cell int, home boolean")
     rows = cut_table(placed)
     large = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CELL).select("cell", F.ceil(F.col("c") / CELL).cast("int").alias("blocks"))
     rows = rows.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
