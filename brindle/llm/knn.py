@@ -32,7 +32,7 @@ SAMPLE = 32_768
 OCCUPANCY = 256  # vectors wanted in a leaf
 BRANCH = 32
 VISITS = 16  # leaves a query may visit
-RECALL = 0.98
+RECALL = 0.985
 CELL = 1_200
 CHUNK = 1_000  # queries that are searched at once
 QUERIES = 3_000  # sample vectors whose neighbours calibrate the margin
