@@ -96,7 +96,8 @@ def permutation_test(edges: DataFrame, labels: DataFrame, node: str, label: str,
     hits = spark.range(reps).repartition(8).mapInPandas(run, "cell long, hit long").groupBy("cell").agg(F.sum("hit").alias("at_least"))
     at = np.flatnonzero(seen)
     kind = dict(labels.dtypes)[label]
-    rows = [(int(c), names[c // k].item(), names[c % k].item(), int(seen[c])) for c in at]
+    names = names.tolist()
+    rows = [(int(c), names[c // k], names[c % k], int(seen[c])) for c in at.tolist()]
     base = spark.createDataFrame(rows, f"cell long, a {kind}, b {kind}, observed long")
     return base.join(hits, "cell").select("a", "b", "observed", "at_least", ((F.col("at_least") + 1) / (reps + 1)).alias("p"))
 

@@ -38,6 +38,10 @@ def text_blob(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" \n ", *[F.nullif(F.trim(p), F.lit("")) for p in parts]))
 
 
+def _begins(accession: str):
+    return lambda x: x.startswith(accession)
+
+
 def marker_hits(genes: DataFrame, markers: list[Marker], text: str, accessions: str | None = None) -> DataFrame:
     """Genes x the markers that match, with how: at most one hit per marker, accession before pattern."""
     hits = []
@@ -45,7 +49,7 @@ def marker_hits(genes: DataFrame, markers: list[Marker], text: str, accessions:
         how = []
         if accessions and m.accessions:
             for a in m.accessions:
-                how.append(F.when(F.exists(F.col(accessions), lambda x, a=a: x.startswith(a)), F.lit(f"pfam:{a}")))
+                how.append(F.when(F.exists(F.col(accessions), _begins(a)), F.lit(f"pfam:{a}")))
         for p in m.patterns:
             how.append(F.when(F.col(text).rlike(f"(?i){p}"), F.lit("regex")))
         via = F.coalesce(*how, F.lit(None).cast("string")) if how else F.lit(None).cast("string")
