@@ -181,7 +181,7 @@ def first_part(spark: SparkSession, d: str) -> DataFrame:
 
 def representatives(spark: SparkSession, d: str) -> DataFrame:
     """JN11, WIN7, AGG1: member -> representative with fallbacks, and the size of each."""
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("member"), F.col("o_custkey").alias("rep"))
+    o = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("member"), F.col("o_custkey").alias("rep"))
     out = resolve(table(spark, d, "orders").select(F.col("o_orderkey").alias("member")), o, "member", "rep")
     return out.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
 
@@ -246,7 +246,7 @@ SELECT u.ie_id, nullif(trim(phylum), 'nan') AS phylum, coalesce(l, coarse_label)
 SELECT CASE WHEN b.id IS NULL THEN 'lost' WHEN a.id IS NULL THEN 'gained' WHEN a.l IS NOT DISTINCT FROM b.l THEN 'kept' ELSE 'changed' END AS state, count(*) AS n FROM a FULL JOIN b ON a.id = b.id GROUP BY 1""",
     "jn33_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "set2_first_part": "WITH p AS (SELECT s_suppkey AS id, s_nationkey AS nation, NULL::VARCHAR AS segment, 'supplier' AS part, 0 AS o FROM supplier UNION ALL SELECT c_custkey, c_nationkey, c_mktsegment, 'customer', 1 FROM customer) SELECT id, nation, segment, part FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, nation) = 1",
-    "jn11_representatives": """WITH m AS (SELECT o_orderkey AS member, o_custkey AS rep FROM orders WHERE o_custkey % 3 = 0) SELECT coalesce(m.rep, o_orderkey) AS rep, count(*) AS size FROM orders LEFT JOIN m ON m.member = o_orderkey GROUP BY 1""",
+    "jn11_representatives": """WITH m AS (SELECT o_orderkey AS member, o_custkey AS rep FROM orders WHERE o_orderstatus <> 'F') SELECT coalesce(m.rep, o_orderkey) AS rep, count(*) AS size FROM orders LEFT JOIN m ON m.member = o_orderkey GROUP BY 1""",
     "aux60_phylum_bins": "WITH k AS (SELECT gtdb_phylum FROM cohort_6960_atlas_join WHERE gtdb_phylum IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) SELECT CASE WHEN gtdb_phylum IN (FROM k) THEN gtdb_phylum ELSE 'Other' END AS bin, coarse_label, count(*) AS n FROM cohort_6960_atlas_join WHERE gtdb_phylum IS NOT NULL GROUP BY ALL",
     "scl_ids": r"""SELECT DISTINCT ie_id, left(regexp_replace(ie_id, '[^A-Za-z0-9_]', '_', 'g'), 180) AS safe, nullif(regexp_extract(sample_id, 'GCA_\d+\.\d+'), '') AS acc, split_part(ie_id, ':', 1) AS orf, regexp_extract(ie_id, '^[^:]*:(.+):\d+-\d+', 1) AS contig,
   CASE WHEN length(ie_id) > 20 THEN left(ie_id, 19) || '…' ELSE ie_id END AS short, regexp_replace(coalesce(integrase_model, ''), '\.\d+$', '') AS model FROM cohort_6960_atlas_join WHERE ie_id IS NOT NULL""",
