@@ -40,7 +40,12 @@ MARGINS = (0.0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.06, 0.08, 0.1, 0.12, 0.1
 
 
 def project(features: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
-    """Unit vectors times random signs: one row of DIMS numbers each."""
+    """Unit vectors times random signs: one row of DIMS numbers each. Chunks keep the intermediate rows of signs small."""
+    parts = [_project(features[i : i + CHUNK], values[i : i + CHUNK]) for i in range(0, len(features), CHUNK)]
+    return np.concatenate(parts)
+
+
+def _project(features: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(f) for f in features], dtype=np.int64)
     flat, w = np.concatenate(features), np.concatenate(values).astype(np.float64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -231,7 +236,7 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
     groups = cut_table(vecs.groupBy("cls").agg(F.min(F.struct("key", "features", "vals")).alias("m")).select("cls", F.col("m.key").alias("rep"), "m.features", "m.vals"))
     n = groups.count()
     step = max(1, -(-n // SAMPLE))
-    sample = groups.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(step)) == 0).select("features", "vals").limit(2 * SAMPLE).toPandas()
+    sample = groups.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(step)) == 0).select("features", "vals").limit(2 * SAMPLE).toArrow().to_pandas()
     if not len(sample):
         return vecs.limit(0).select("key", F.col("key").alias("other"), F.lit(0.0).alias("similarity"))
     fs, vs = [np.array(f) for f in sample["features"]], [np.array(v) for v in sample["vals"]]
