@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.cells import block_pairs
 from brindle.session import cut_table, partitions
 
 DIMS = 64
@@ -259,10 +260,7 @@ def neighbours_of(vecs: DataFrame, k: int, least: float) -> DataFrame:
 
     placed = groups.select("rep", "features", "vals").mapInPandas(place, f"rep {kind}, features array<int>, vals array<double>, cell int, home boolean")
     rows = cut_table(placed)
-    large = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CELL).select("cell", F.ceil(F.col("c") / CELL).cast("int").alias("blocks"))
-    rows = rows.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
-    rows = rows.withColumn("bp", F.explode(pairs)).select("rep", "features", "vals", "home", "cell", "own", "bp.lo", "bp.hi")
+    rows = block_pairs(rows, ["cell"], "rep", CELL)
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, fs, vs, homes = pdf["rep"].to_numpy(), pdf["features"].to_numpy(), pdf["vals"].to_numpy(), pdf["home"].to_numpy()

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.cells import block_pairs
 from brindle.session import cut_table, partitions
 
 SAMPLE = 16_384  # sets of which pivots are chosen
@@ -184,12 +185,7 @@ def join_cells(placed: DataFrame, threshold: Fraction, links_only: bool = False,
     """Distinct (a, b, shared) of similar classes. With ``links_only`` a cell gives, instead of all its pairs, links that
     join the same records (shared is 0 then)."""
     spark = placed.sparkSession
-    large = placed.groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("kind", "cell", F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-    rows = placed.join(large, ["kind", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("lo"), F.greatest(k, F.col("own")).alias("hi")))
-    rows = rows.withColumn("bp", F.explode(pairs)).select("rep", "tokens", "home", "kind", "cell", "own", "bp.lo", "bp.hi")
+    rows = block_pairs(placed, ["kind", "cell"], "rep", cap)
     kind = dict(placed.dtypes)["rep"]
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
