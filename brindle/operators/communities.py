@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.matrix import prune_small
-from brindle.operators.topk import top1
-from brindle.session import cut_table
+from brindle.session import cut_table, drop_table
 
 GRAPH = 2_000_000  # edges of a graph that is clustered on the driver
+BLOCK = 4096  # sequences that are settled in a round, and
+LETTERS = 4_000_000  # their letters together
 
 
 def modularity(src: np.ndarray, dst: np.ndarray, w: np.ndarray, label: np.ndarray) -> float:
@@ -78,29 +82,94 @@ def communities(edges: DataFrame, least: int = 5, seed: int = 42, resolution: fl
     return prune_small(out, "community", least)
 
 
-def kmers(seq, k: int):
-    """Distinct k-mers of a sequence column, as hashes."""
-    n = F.length(seq) - k + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.substr(seq, i, F.lit(k)))))).otherwise(F.array())
+def kmers(texts: list[str], k: int, seed: int = 42) -> list[np.ndarray]:
+    """Distinct k-mers of each text, as sorted 64-bit hashes (a polynomial over code points, equal on every machine)."""
+    mult = np.random.default_rng(seed).integers(1, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = []
+    for t in texts:
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        h = np.zeros(max(0, len(c) - k + 1), dtype=np.uint64)
+        for i in range(k if len(h) else 0):
+            h += (c[i : i + len(h)] + np.uint64(1)) * mult[i]
+        h ^= h >> np.uint64(32)
+        out.append(np.unique(h))
+    return out
+
+
+class KmerIndex:
+    """Sequences by k-mer, numbered in the given order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        own = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in sets])
+        every = np.concatenate(sets) if sets else np.array([], dtype=np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.own = own[order]
+        self.km, start = np.unique(every[order], return_index=True)
+        self.start = np.append(start, len(every))
+
+    def shared(self, km: np.ndarray) -> np.ndarray:
+        """How many of these distinct k-mers each sequence of the index has."""
+        at = np.searchsorted(self.km, km)
+        at = at[at < len(self.km)]
+        at = at[self.km[at] == km[: len(at)]]  # km is sorted: what lies beyond the index is its end
+        lo, n = self.start[at], self.start[at + 1] - self.start[at]
+        rows = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return np.bincount(self.own[rows], minlength=self.n)
 
 
-def deduplicate(seqs: DataFrame, key: str, seq: str, k: int = 12, identity: float = 0.9, hashes: int = 24) -> DataFrame:
-    """(key, representative): greedy, longest first: a sequence joins the longest one (then the smaller key) of at least its
-    own length that shares ``identity`` ** k of its k-mers, if that one is a representative itself.
+def greedy(sets: list[np.ndarray], share: float) -> list[int]:
+    """Of k-mer sets, longest first: the number of the first representative that has ``share`` of the set's k-mers, or its own."""
+    index, heads, out = KmerIndex(sets), np.zeros(len(sets), dtype=bool), []
+    for i, km in enumerate(sets):
+        first = np.flatnonzero((index.shared(km) >= share * len(km)) & heads)
+        out.append(int(first[0]) if len(first) else i)
+        heads[i] = not len(first)
+    return out
 
-    Candidates share one of the ``hashes`` smallest k-mer hashes; the share of k-mers is then computed exactly. Equal
-    sequences are one; a k-mer of very many sequences proposes only the longest of them as partners. The result is
-    approximate in its candidates (k-mer sketches) and exact in its check.
+
+def deduplicate(seqs: DataFrame, key: str, seq: str, k: int = 12, identity: float = 0.9) -> DataFrame:
+    """(key, representative): greedy, longest first, equal lengths by smaller key: a sequence joins the first representative
+    before it that has ``identity`` ** k of its k-mers, and is one itself if there is none.
+
+    Exact, no pair is left out: in each round the ``BLOCK`` first open sequences are settled among themselves on the driver, and
+    the index of their representatives is held against every open sequence. A sequence that gets no representative in its
+    round stays open, so it meets all of them in order. Equal sequences are one; those shorter than k stay alone.
+    Rounds and work grow with the number of representatives: sequences times representatives in the worst case.
     """
     x = seqs.select(F.col(key).alias("key"), F.upper(F.col(seq)).alias("s")).where("key is not null and s is not null")
     same = x.groupBy("s").agg(F.min("key").alias("rep"))
-    u = cut_table(same.select(F.col("rep").alias("id"), F.length("s").alias("n"), F.sort_array(kmers(F.col("s"), k)).alias("km")))
-    sketch = u.select("id", "n", F.explode(F.slice("km", 1, hashes)).alias("h"))
-    lead = top1(sketch, ["h"], [F.desc("n"), F.col("id")]).select("h", F.col("id").alias("head"), F.col("n").alias("hn"))
-    cand = sketch.join(lead, "h").where("head <> id").select("id", "head").distinct()
-    j = cand.join(u.select("id", "n", "km"), "id").join(u.select(F.col("id").alias("head"), F.col("n").alias("hn"), F.col("km").alias("hkm")), "head")
-    j = j.where((F.size(F.array_intersect("km", "hkm")) >= identity**k * F.size("km")) & (F.size("km") > 0))
-    best = cut_table(top1(j.select("id", "head", "hn"), ["id"], [F.desc("hn"), F.col("head")]))
-    follow = best.join(best.select(F.col("id").alias("head"), F.lit(True).alias("_f")), "head", "left").where("_f is null").select("id", "head")
-    rep = u.select("id").join(follow, "id", "left").select("id", F.coalesce("head", "id").alias("representative"))
-    return x.join(same, "s").select("key", F.col("rep").alias("id")).join(rep, "id").select("key", "representative")
+    sc, share = seqs.sparkSession.sparkContext, identity**k
+    state = same.select(F.col("rep").alias("id"), F.length("s").alias("n"), "s")
+    state = cut_table(state.select("id", "n", F.when(F.col("n") >= k, F.col("s")).alias("s"), F.when(F.col("n") < k, F.col("id")).alias("representative")))
+    while True:
+        rest = state.where("representative is null")
+        head = rest.select("n", "id").orderBy(F.desc("n"), "id").limit(BLOCK).collect()
+        if not head:
+            break
+        last = head[max(1, int(np.searchsorted(np.cumsum([r.n for r in head]), LETTERS, "right"))) - 1]
+        block = rest.where((F.col("n") > last.n) | ((F.col("n") == last.n) & (F.col("id") <= F.lit(last.id)))).orderBy(F.desc("n"), "id").select("id", "s").toArrow()
+        ids, sets = block["id"].to_pylist(), kmers(block["s"].to_pylist(), k)
+        of = greedy(sets, share)
+        heads = [i for i, r in enumerate(of) if i == r]
+        held = sc.broadcast(({i: ids[r] for i, r in zip(ids, of)}, [ids[i] for i in heads], KmerIndex([sets[i] for i in heads])))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            settled, names, index = held.value
+            for b in batches:
+                own, text, rep = b["id"].to_pylist(), b["s"].to_pylist(), b["representative"].to_pylist()
+                for i, t in enumerate(text):
+                    if rep[i] is None:
+                        rep[i] = settled.get(own[i])
+                    if rep[i] is None:
+                        km = kmers([t], k)[0]
+                        first = np.flatnonzero(index.shared(km) >= share * len(km))
+                        rep[i] = names[first[0]] if len(first) else None
+                    if rep[i] is not None:
+                        text[i] = None  # settled sequences carry no text into the next round
+                yield pa.RecordBatch.from_arrays([b["id"], b["n"], pa.array(text, b["s"].type), pa.array(rep, b["id"].type)], ["id", "n", "s", "representative"])
+
+        before, state = state, cut_table(state.mapInArrow(run, state.schema))
+        drop_table(before)
+        held.destroy()
+    return x.join(same, "s").select("key", F.col("rep").alias("id")).join(state.select("id", "representative"), "id").select("key", "representative")

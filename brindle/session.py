@@ -68,6 +68,14 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete one table of ``cut_table`` that later rounds have replaced."""
+    for spark, path in [t for t in _TABLES if any(f"/{t[1].rpartition('/')[2]}/" in f for f in df.inputFiles()[:1])]:
+        _TABLES.remove((spark, path))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release() -> None:
     """Delete what ``cut_table`` wrote; frames that still read it can't be used any more."""
     while _TABLES:

@@ -68,3 +68,24 @@ def test_deduplicate(spark):
     rows += [("short", "ACG"), ("none", None), ("empty", "")]
     got = {x.key: x.representative for x in cm.deduplicate(spark.createDataFrame(rows, "key string, seq string"), "key", "seq").collect()}
     assert got == {**{f"{i:02d}{c}": f"{i:02d}a" for i in range(12) for c in "abc"}, "short": "short", "empty": "empty"}
+
+
+def test_deduplicate_is_the_whole_greedy_pass(spark, monkeypatch):
+    """Shared boilerplate, and texts whose longest partner follows another one: as the pass over all pairs, in any number of rounds."""
+    r = random.Random(5)
+    parts = ["".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=r.randint(30, 60))) for _ in range(25)]
+    texts = ["".join(r.sample(parts, r.randint(1, 6))) + "".join(r.choices("ACGT", k=r.randint(0, 80))) for _ in range(180)]
+    rows = [(f"{i:03d}", t) for i, t in enumerate([*texts, *texts[:9], "ACGT", ""])]
+    first: dict[str, str] = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    word = {t: {t[j : j + 12] for j in range(len(t) - 11)} for t in first}
+    heads, rep = [], {}
+    for t in sorted(first, key=lambda t: (-len(t), first[t])):
+        rep[t] = next((h for h in heads if word[t] and len(word[t] & word[h]) >= 0.9**12 * len(word[t])), t)
+        heads += [t] if rep[t] == t else []
+    want = {i: first[rep[t]] for i, t in rows}
+    df = spark.createDataFrame(rows, "key string, seq string").repartition(5)
+    assert {x.key: x.representative for x in cm.deduplicate(df, "key", "seq").collect()} == want
+    monkeypatch.setattr(cm, "BLOCK", 16)
+    assert {x.key: x.representative for x in cm.deduplicate(df, "key", "seq").collect()} == want
