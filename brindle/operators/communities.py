@@ -1,4 +1,4 @@
-"""Community detection on cluster-level graphs and greedy deduplication of sequences."""
+"""Community detection and greedy deduplication of sequences."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.matrix import prune_small
+from brindle.operators.topk import top1
 from brindle.session import cut_table, drop_table
 
-GRAPH = 2_000_000  # edges of a graph that is clustered on the driver
+GRAPH = 500_000  # edges of a graph that is clustered on the driver; a larger one is coarsened first
 BLOCK = 4096  # sequences that are settled in a round, and
 LETTERS = 4_000_000  # their letters together
 
@@ -62,24 +62,62 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, seed: int =
         src, dst, n = own[src], own[dst], len(names)
 
 
+def coarsen(edges: DataFrame, resolution: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(edges, labels): nodes of a large graph merged in distributed rounds until at most ``GRAPH`` edges are left or no merge gains.
+
+    A node proposes to the neighbour of its greatest gain; a seeded coin of each round makes one of them move and the other
+    stay. One that stays takes its proposers, best first, while each still gains over the degrees of all before it, so
+    every round raises the modularity. Weights are summed as decimals: the result doesn't depend on partitions.
+    """
+    kind = "decimal(28,12)"
+    e = cut_table(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("weight").cast(kind)).cast(kind).alias("weight")))
+    labels = cut_table(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("label")))
+    turn = 0
+    while e.count() > GRAPH:
+        both = e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight").unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"), "weight"))
+        degree = cut_table(both.groupBy("u").agg(F.sum("weight").cast("double").alias("d")))  # a loop is listed twice
+        total = degree.agg(F.sum(F.col("d").cast(kind)).cast("double")).first()[0]
+        x = both.where("u <> v").join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
+        gain = lambda mass: F.col("weight").cast("double") - resolution * F.col("d") * mass / total  # noqa: E731, B023
+        x = x.withColumn("gain", gain(F.col("dv"))).where("gain > 1e-12")
+        best = cut_table(top1(x, ["u"], [F.desc("gain"), F.col("v")]))
+        if not best.limit(1).count():
+            drop_table(best), drop_table(degree)
+            break
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(turn)), F.lit(2))  # noqa: E731, B023
+        before = Window.partitionBy("v").orderBy(F.desc("gain"), "u").rowsBetween(Window.unboundedPreceding, -1)
+        moves = best.where((coin("u") == 1) & (coin("v") == 0)).withColumn("mass", F.col("dv") + F.coalesce(F.sum("d").over(before), F.lit(0.0)))
+        moves = cut_table(moves.where(gain(F.col("mass")) > 1e-12).select(F.col("u").alias("old"), F.col("v").alias("new")))
+        to = lambda df, c: df.join(moves.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: E731, B023
+        new = to(to(e, "src"), "dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").cast(kind).alias("weight"))
+        old, e, names, labels = e, cut_table(new), labels, cut_table(to(labels, "label").select("node", "label"))
+        for t in (old, names, degree, best, moves):
+            drop_table(t)
+        turn += 1
+    return e.withColumn("weight", F.col("weight").cast("double")), labels
+
+
 def communities(edges: DataFrame, least: int = 5, seed: int = 42, resolution: float = 1.0) -> DataFrame:
-    """(node, community) of an edge table (src, dst, weight): seeded modularity communities, numbered by size; those of fewer
-    than ``least`` nodes are -1. A graph above ``GRAPH`` edges is refused: it is the bounded neighbour graph that is meant."""
-    rows = edges.select("src", "dst", "weight").limit(GRAPH + 1).toPandas()
-    if len(rows) > GRAPH:
-        raise ValueError(f"communities are found for graphs of at most {GRAPH} edges")
-    rows = rows.sort_values(["src", "dst"], kind="stable")
-    nodes = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()])) if len(rows) else np.array([])
-    kind = dict(edges.dtypes)["src"]
-    if not len(nodes):
-        return edges.sparkSession.createDataFrame([], f"node {kind}, community int")
-    a, b = np.searchsorted(nodes, rows["src"].to_numpy()), np.searchsorted(nodes, rows["dst"].to_numpy())
-    label = louvain(len(nodes), a, b, rows["weight"].to_numpy(dtype=float), seed, resolution)
-    order = np.argsort(-np.bincount(label), kind="stable")
-    rank = np.empty(len(order), dtype=int)
-    rank[order] = np.arange(len(order))
-    out = edges.sparkSession.createDataFrame(list(zip(nodes.tolist(), rank[label].tolist())), f"node {kind}, community int")
-    return prune_small(out, "community", least)
+    """(node, community) of an edge table (src, dst, weight): seeded modularity communities, numbered by size, then smallest node;
+    those of fewer than ``least`` nodes are -1. A graph above ``GRAPH`` edges is first coarsened in distributed rounds."""
+    kind, labels = dict(edges.dtypes)["src"], None
+    edges = cut_table(edges.select("src", "dst", "weight"))
+    if edges.count() > GRAPH:
+        edges, labels = coarsen(edges, resolution, seed)
+    if labels is None or edges.count() <= GRAPH:
+        rows = edges.toPandas().sort_values(["src", "dst"], kind="stable")
+        nodes = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()])) if len(rows) else np.array([])
+        if not len(nodes):
+            return edges.sparkSession.createDataFrame([], f"node {kind}, community int")
+        a, b = np.searchsorted(nodes, rows["src"].to_numpy()), np.searchsorted(nodes, rows["dst"].to_numpy())
+        label = louvain(len(nodes), a, b, rows["weight"].to_numpy(dtype=float), seed, resolution)
+        names = nodes[np.unique(label, return_index=True)[1]]
+        found = edges.sparkSession.createDataFrame(list(zip(nodes.tolist(), names[label].tolist())), f"label {kind}, name {kind}")
+        labels = found.select(F.col("label").alias("node"), F.col("name").alias("label")) if labels is None else labels.join(found, "label").select("node", F.col("name").alias("label"))
+    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    large = size.where(F.col("n") >= least)  # only these are numbered
+    rank = large.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("community"))
+    return labels.join(rank, "label", "left").select("node", F.coalesce("community", F.lit(-1)).alias("community"))
 
 
 def kmers(texts: list[str], k: int, seed: int = 42) -> list[np.ndarray]:

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from brindle.functions.stats import fisher_greater_udf, poisson_sf_udf
 from brindle.operators.topk import topk
+from brindle.session import cut_table, partitions
 
 
-GRAPH = 2_000_000  # nodes or edges of a graph that every task may hold
-
 
 def weighted_jaccard(long: DataFrame, row: str, feature: str, value: str) -> DataFrame:
     """(i, j, jaccard), i < j, of rows that share a feature: sum(v_i v_j) / (r_i + r_j - that), r the row's sum of squares.
@@ -60,46 +59,66 @@ def mixing(cross: DataFrame, sizes: DataFrame) -> DataFrame:
     return x.select("a", "b", "n_edges", "expected", (F.col("n_edges") / F.col("expected")).alias("fold"), F.log2((F.col("n_edges") + 0.5) / (F.col("expected") + 0.5)).alias("log2_fold"), ((F.col("n_edges") - F.col("expected")) / F.sqrt("expected")).alias("z"), "p")
 
 
+def shuffled(v: np.ndarray, n: int, seed: int, rep: int, rounds: int = 10) -> np.ndarray:
+    """Places of the numbers v in a seeded permutation of 0 .. n - 1, without the others: v is a cell of a table of about
+    sqrt(n) rows whose rows and columns are turned by random amounts in turn; what leaves the numbers goes on until it is back."""
+    rng, high = np.random.default_rng([seed, rep]), max(1, int(np.ceil(np.sqrt(n))))
+    low = -(-n // high)
+    turns = [(rng.integers(0, high, low), rng.integers(0, low, high)) for _ in range(rounds)]
+    out = np.array(v, dtype=np.int64)
+    open_ = np.arange(len(out))
+    while len(open_):
+        a, b = out[open_] // low, out[open_] % low
+        for over, along in turns:
+            a += over[b]
+            a -= high * (a >= high)
+            b += along[a]
+            b -= low * (b >= low)
+        out[open_] = a * low + b
+        open_ = open_[out[open_] >= n]
+    return out
+
+
 def permutation_test(edges: DataFrame, labels: DataFrame, node: str, label: str, reps: int, seed: int = 42) -> DataFrame:
     """(a, b, observed, at_least, p): labels are permuted ``reps`` times over the nodes; p = (at_least + 1) / (reps + 1).
 
-    The label graph that is permuted is the small cluster-level graph's node table, which every task holds; replicates
-    have seeds of their own, so the result doesn't depend on partitions. Graphs above ``GRAPH`` nodes or edges are refused.
+    Nodes are numbered label by label, so a node's label in a replicate follows from its permuted number and the sizes of
+    the labels, which are all that tasks hold. One pass over the edges, whatever the size of the graph; a replicate's
+    permutation follows from its seed, so the result doesn't depend on partitions.
     """
-    spark = edges.sparkSession
-    nodes = labels.where(F.col(label).isNotNull()).select(node, label).limit(GRAPH + 1).toPandas()
-    e = edges.select("src", "dst").limit(GRAPH + 1).toPandas()
-    if max(len(nodes), len(e)) > GRAPH:
-        raise ValueError(f"a permutation test holds at most {GRAPH} nodes and edges in every task")
-    code = pd.Series(np.arange(len(nodes)), index=nodes[node])
-    names, lab = np.unique(nodes[label].to_numpy(), return_inverse=True)
-    e = e[e["src"].isin(code.index) & e["dst"].isin(code.index)]
-    src, dst = code[e["src"]].to_numpy(), code[e["dst"]].to_numpy()
-    k = len(names)
-    data = spark.sparkContext.broadcast((lab, src, dst, k))
-
-    def counts(lab: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int) -> np.ndarray:
-        a, b = lab[src], lab[dst]
-        return np.bincount(np.minimum(a, b) * k + np.maximum(a, b), minlength=k * k)
-
-    seen = counts(lab, src, dst, k)
+    x = labels.where(F.col(label).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(label).alias("label"))
+    size = x.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("label")
+    size = cut_table(size.select("label", (F.row_number().over(order) - 1).cast("long").alias("code"), "n", (F.sum("n").over(order) - F.col("n")).alias("start")))
+    # numbers within a label by the ranks of hash buckets, so that no task orders a whole label
+    width = partitions(edges.sparkSession)
+    x = x.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(width)))
+    per = x.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("k"))
+    per = per.select("label", "bucket", (F.sum("k").over(Window.partitionBy("label").orderBy("bucket")) - F.col("k")).alias("base"))
+    x = x.withColumn("at", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("node")) - 1)
+    numbered = cut_table(x.join(per, ["label", "bucket"]).join(size, "label").select("node", "code", (F.col("start") + F.col("base") + F.col("at")).alias("number")))
+    side = lambda c: numbered.select(F.col("node").alias(c), F.col("code").alias(f"c_{c}"), F.col("number").alias(f"n_{c}"))
+    e = cut_table(edges.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").select("c_src", "c_dst", "n_src", "n_dst"))
+    seen = cut_table(e.groupBy(F.least("c_src", "c_dst").alias("i"), F.greatest("c_src", "c_dst").alias("j")).agg(F.count(F.lit(1)).alias("observed")))
+    ends = edges.sparkSession.sparkContext.broadcast(np.cumsum([r.n for r in size.select("code", "n").orderBy("code").collect()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lab, src, dst, k = data.value
-        obs, hit = counts(lab, src, dst, k), np.zeros(k * k, dtype=np.int64)
+        last = ends.value
+        k = len(last)
         for b in batches:
-            for rep in b["id"]:
-                hit += counts(np.random.default_rng(seed + int(rep)).permutation(lab), src, dst, k) >= obs
-        at = np.flatnonzero(obs)
-        yield pd.DataFrame({"cell": at, "hit": hit[at]})
-
-    hits = spark.range(reps).repartition(8).mapInPandas(run, "cell long, hit long").groupBy("cell").agg(F.sum("hit").alias("at_least"))
-    at = np.flatnonzero(seen)
-    kind = dict(labels.dtypes)[label]
-    names = names.tolist()
-    rows = [(int(c), names[c // k], names[c % k], int(seen[c])) for c in at.tolist()]
-    base = spark.createDataFrame(rows, f"cell long, a {kind}, b {kind}, observed long")
-    return base.join(hits, "cell").select("a", "b", "observed", "at_least", ((F.col("at_least") + 1) / (reps + 1)).alias("p"))
+            nodes, at = np.unique(np.concatenate([b["n_src"], b["n_dst"]]), return_inverse=True)
+            src, dst = at[: len(b)], at[len(b) :]
+            for rep in range(reps):
+                lab = np.searchsorted(last, shuffled(nodes, int(last[-1]), seed, rep), "right")
+                i, j = lab[src], lab[dst]
+                cell, n = np.unique(np.minimum(i, j) * k + np.maximum(i, j), return_counts=True)
+                yield pd.DataFrame({"rep": rep, "i": cell // k, "j": cell % k, "n": n})
+
+    drawn = e.select("n_src", "n_dst").mapInPandas(run, "rep long, i long, j long, n long").groupBy("rep", "i", "j").agg(F.sum("n").alias("n"))
+    hits = drawn.join(seen, ["i", "j"]).where(F.col("n") >= F.col("observed")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("at_least"))
+    name = lambda c, to: size.select(F.col("code").alias(c), F.col("label").alias(to))
+    out = seen.join(hits, ["i", "j"], "left").join(name("i", "a"), "i").join(name("j", "b"), "j").withColumn("at_least", F.coalesce("at_least", F.lit(0)))
+    return out.select("a", "b", "observed", "at_least", ((F.col("at_least") + 1) / (reps + 1)).alias("p"))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

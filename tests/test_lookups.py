@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import communities as cm
 from brindle.operators import lookups as lk
+from brindle.operators import matrix as mx
 
 
 def test_name_lookup(spark):
@@ -89,3 +90,41 @@ def test_deduplicate_is_the_whole_greedy_pass(spark, monkeypatch):
     assert {x.key: x.representative for x in cm.deduplicate(df, "key", "seq").collect()} == want
     monkeypatch.setattr(cm, "BLOCK", 16)
     assert {x.key: x.representative for x in cm.deduplicate(df, "key", "seq").collect()} == want
+
+
+def test_communities_above_the_driver_bound_are_coarsened(spark, monkeypatch):
+    r = random.Random(6)
+    e = [(i, j, 1.0) for g in range(12) for i in range(g * 10, g * 10 + 10) for j in range(i + 1, g * 10 + 10) if r.random() < 0.7]
+    e += [(g * 10, (g * 10 + 10) % 120, 0.5) for g in range(12)] + [(500, 501, 1.0)] + [(600, i, 1.0) for i in range(601, 640)]
+    df = spark.createDataFrame(e, "src long, dst long, weight double")
+    s, d, w = (np.array(x) for x in zip(*e))
+    nodes = np.unique(np.r_[s, d])
+    a, b = np.searchsorted(nodes, s), np.searchsorted(nodes, d)
+    whole = cm.modularity(a, b, w, cm.louvain(len(nodes), a, b, w))
+    for most in (60, 0):  # the driver ends the work, and rounds alone
+        monkeypatch.setattr(cm, "GRAPH", most)
+        one = {x.node: x.community for x in cm.communities(df, least=1).collect()}
+        assert one == {x.node: x.community for x in cm.communities(df.repartition(7), least=1).collect()}
+        assert set(one) == set(nodes.tolist())
+        assert cm.modularity(a, b, w, np.array([one[n] for n in nodes.tolist()])) > 0.93 * whole
+    assert {x.node for x in cm.communities(df).where("community = -1").collect()} >= {500, 501}
+
+
+def test_permutation_test_holds_no_graph(spark, monkeypatch):
+    monkeypatch.setattr(mx, "GRAPH", 10, raising=False)  # a graph of any size
+    n, reps = 301, 400
+    r = random.Random(9)
+    lab = {i: "abc"[min(2, i % 4)] for i in range(n)}
+    e = [(r.randrange(n), r.randrange(n)) for _ in range(500)] + [(i, i + 4) for i in range(0, 120, 4)]
+    edges = spark.createDataFrame(e, "src long, dst long").repartition(5)
+    got = {(x.a, x.b): x for x in mx.permutation_test(edges, spark.createDataFrame(list(lab.items()), "n long, l string"), "n", "l", reps).collect()}
+    code = np.array(["abc".index(lab[i]) for i in range(n)])
+    s, d = np.array(e).T
+    cells = lambda c: np.bincount(np.minimum(c[s], c[d]) * 3 + np.maximum(c[s], c[d]), minlength=9)
+    hit = np.mean([cells(np.random.default_rng(i).permutation(code)) >= cells(code) for i in range(4000)], axis=0)
+    for (a, b), x in got.items():
+        c = "abc".index(a) * 3 + "abc".index(b)
+        assert x.observed == cells(code)[c] and abs(x.p - hit[c]) < 0.09
+    assert len(got) == (cells(code) > 0).sum()
+    for k in (1, 2, 5, 17, 300):
+        assert sorted(mx.shuffled(np.arange(k), k, 1, 2).tolist()) == list(range(k))
