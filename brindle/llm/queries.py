@@ -26,9 +26,8 @@ def feature_sets(spark: SparkSession, d: str) -> DataFrame:
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """(ie_id, other, similarity): the at most 5 most similar others of each element, from 0.85 upwards."""
     rows = table(spark, d, "feature_long").where("row_id is not null").select("row_id", "feature_id", "feat_value")
-    by_row = knn.vectors(rows, "row_id", "feature_id", "feat_value", 5)
-    vecs = by_row.join(matrix_rows(spark, d), "key").select(F.col("ie_id").alias("key"), "features", "vals")
-    return knn.neighbours_of(vecs, 5, 0.85).withColumnRenamed("key", "ie_id")
+    names = matrix_rows(spark, d).select("key", F.col("ie_id").alias("name"))
+    return knn.neighbours_of(knn.vectors(rows, "row_id", "feature_id", "feat_value", 5), 5, 0.85, names).withColumnRenamed("key", "ie_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -60,10 +60,71 @@ def test_empty(spark):
     assert knn.neighbours(df, "ie", "feature", "value", 3, 0.8, 4).count() == 0
 
 
-def test_search_visits_leaves_in_order_of_distance():
-    x = np.random.default_rng(1).normal(size=(900, knn.DIMS)).astype("float32")
-    tree = knn.Tree(x, 20)
-    leaves, dist = tree.search(x[:50], 9.0)
-    assert (leaves >= 0).all() and all(len(set(r)) == len(r) for r in leaves.tolist())
-    one, _ = tree.search(x[:50], 0.0)
-    assert (one[:, 0] == leaves[:, 0]).all() and (one[:, 1] == -1).all()
+def popped(tree, x, margin):
+    """Best bin first with a queue, one node at a time."""
+    import heapq
+
+    gap = lambda v: float(np.sqrt(((x.astype(float) - tree.c[v]) ** 2).sum()))
+    queue, out, first = [(-1.0, 0)], [], None
+    while queue:
+        key, v = heapq.heappop(queue)
+        if first is not None and key > first + margin:
+            break
+        if tree.leaf[v] >= 0:
+            first = key if first is None else first
+            out.append(tree.leaf[v])
+        else:
+            for w in tree.children[v].tolist():
+                heapq.heappush(queue, (max(key, gap(w) - (knn.SLACK if tree.leaf[w] < 0 else 0)), w))
+    return out
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.3, 1.0])
+def test_search_visits_what_a_queue_pops(margin):
+    x = np.random.default_rng(1).normal(size=(900, knn.DIMS)).astype("float32") / 8
+    tree = knn.Tree(x, 4)
+    assert tree.leaves > knn.BRANCH
+    q, leaf, home = tree.search(x[:40], margin)
+    for i in range(40):
+        want = popped(tree, x[i], margin)
+        assert set(leaf[q == i].tolist()) == set(want) and leaf[(q == i) & home].tolist() == want[:1]
+
+
+def test_needed_margin_is_where_a_pair_meets():
+    x = np.random.default_rng(4).normal(size=(600, knn.DIMS)).astype("float32") / 8
+    tree = knn.Tree(x, 10)
+    a, b = x[:60], x[60:120]
+    need = tree.needed(a, b)
+
+    def meet(margin):
+        out = []
+        for i in range(60):
+            q, leaf, home = tree.search(np.stack([a[i], b[i]]), margin[i])
+            out.append(leaf[home & (q == 1)][0] in leaf[q == 0] or leaf[home & (q == 0)][0] in leaf[q == 1])
+        return np.array(out)
+
+    assert meet(need + 1e-5).all() and not meet(np.where(need > 1e-4, need - 1e-4, -1))[need > 1e-4].any()
+
+
+@pytest.mark.parametrize("part", [3, 8])
+def test_recall_with_a_sample_of_a_part_of_the_data(spark, monkeypatch, part):
+    """The tree sees a third or an eighth of the vectors; the recall over all of them is what calibration promised."""
+    rows = data(2400, 5)
+    want = brute(rows, 3, 0.8, 4)
+    monkeypatch.setattr(knn, "SAMPLE", 2400 // part)
+    monkeypatch.setattr(knn, "LEAST_SAMPLE", 1)
+    monkeypatch.setattr(knn, "OCCUPANCY", 64)
+    told = []
+    monkeypatch.setattr(knn, "fit", lambda *a, f=knn.fit: told.append(f(*a)) or told[-1])
+    df = spark.createDataFrame(rows, "ie string, feature string, value double, cls string").repartition(5)
+    got = {(a, b, s) for a, b, s in knn.neighbours(df, "ie", "feature", "value", 3, 0.8, 4).collect()}
+    assert told[0].tree.leaves > 10 and told[0].pairs > 200 and told[0].recall >= knn.RECALL
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_names(spark):
+    """Keys may have several names; keys without a name take no part."""
+    df = spark.createDataFrame([(k, f"f{j}", 1.0 + (k == 3) * j / 9) for k in (1, 2, 3) for j in range(5)], "ie int, feature string, value double")
+    names = spark.createDataFrame([(1, "b"), (1, "a"), (3, "c"), (3, "c"), (4, "d")], "key int, name string")
+    got = {(a, b) for a, b, _ in knn.neighbours_of(knn.vectors(df, "ie", "feature", "value", 2), 2, 0.5, names).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")}
