@@ -3,10 +3,11 @@
 Keys are dictionary-encoded as integers within hash buckets, references and parents become compressed
 bitmaps per key range and month, and ``reference AND NOT parent`` leaves the keys whose parent was not in
 force for the whole month. Those few are then decided exactly from the first and last reference of the month
-against the parent's intervals; only a month in which the parent was in force, absent and in force again
-needs its single references looked at, which one join does.
+against the parent's intervals. Only the open gaps, of a month in which the parent was in force, absent and in force
+again, need single references looked at: up to LISTED open gaps are sent to the references, which are not shuffled
+for that; beyond, an inner join that may split either side brings them together.
 
-Scale and skew: references are pre-aggregated per (table, key, month) before the only shuffle that carries
+Scale and skew: references are pre-aggregated per (table, key, month) before the shuffle that carries
 them, so a key with a third of all rows is a handful of rows; the intervals of a key that share a dyadic
 point are merged map-side too. The number of buckets follows ``spark.sql.shuffle.partitions``.
 
@@ -26,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.bitmaps import RangeBitmap
-from brindle.session import partitions
+from brindle.session import cut_table, partitions
 
+LISTED = 100_000  # open gaps that are broadcast; more of them are joined
 NOTHING = ("", "nan", "None", "<NA>")
 OFFSET = 1 << 58  # makes every microsecond count positive
 OPEN = 1 << 60  # the end of an interval that has none
@@ -142,11 +144,18 @@ def orphan_references(refs: list[References], parents: DataFrame, keys: dict[str
     held = _intervals(parents, keys, start, end).withColumn("bucket", bucket)
     schema = "src_table string, kind string, key string, month int, gap_from long, gap_to long"
     found = months.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(lambda r, p: _bucket(r, p), schema)
-    on = [F.col(f"f.{c}") == F.col(f"r.{c}") for c in ("src_table", "kind", "key", "month")]
-    hit = found.alias("f").join(rows.alias("r"), [*on, F.col("r.us") >= F.col("f.gap_from"), F.col("r.us") < F.col("f.gap_to")], "left")
-    hit = hit.where((F.col("f.gap_from") < 0) | F.col("r.us").isNotNull())
-    period = F.format_string("%04d-%02d", F.floor(F.col("f.month") / 12).cast("int"), (F.col("f.month") % 12 + 1).cast("int"))
-    return hit.select("f.src_table", F.col("f.key").alias("ref_id"), period.alias("period")).distinct()
+    found = cut_table(found)
+    gaps = found.where("gap_from >= 0")
+    n = gaps.count()
+    case = ["src_table", "key", "month"]
+    hit = found.where("gap_from < 0").select(*case)
+    if n:
+        near = (F.broadcast(gaps) if n <= LISTED else gaps).alias("f")
+        on = [F.col(f"f.{c}") == F.col(f"r.{c}") for c in ("src_table", "kind", "key", "month")]
+        inside = rows.alias("r").join(near, [*on, F.col("r.us") >= F.col("f.gap_from"), F.col("r.us") < F.col("f.gap_to")])
+        hit = hit.unionByName(inside.select(*[F.col(f"f.{c}").alias(c) for c in case]))
+    period = F.format_string("%04d-%02d", F.floor(F.col("month") / 12).cast("int"), (F.col("month") % 12 + 1).cast("int"))
+    return hit.select("src_table", F.col("key").alias("ref_id"), period.alias("period")).distinct()
 
 
 def orphan_report(refs: list[References], parents: DataFrame, keys: dict[str, str], start: str, end: str) -> DataFrame:
