@@ -6,7 +6,9 @@ refused. A typed name is normalised (compatibility forms, case, dashes, Greek le
 quotes, zero for o), its words are looked up with the edit distance their length allows, also as abbreviations with
 a full stop ("su.", "dom.-cont.") and as words that lost or moved their hyphen. An entry matches if it has the same
 words in any order; the entry with the smallest weighted Damerau-Levenshtein distance wins, then the one that is
-more frequent letter for letter, then the smaller number. Words of remark ("putative", "partial") cost nothing.
+more frequent letter for letter, then the smaller number. Words of remark ("putative", "partial"; a parameter) cost nothing.
+Every reading of every word counts: names with few readings are looked up combination by combination, for others the
+entries that hold a reading of each word are fetched from an inverted index and the cheapest cover of each entry is searched.
 Short words, single letters and numerals must agree exactly: they tell entries apart. A name with a word that no
 entry has means no entry.
 
@@ -21,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import combinations, product
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,29 +31,45 @@ from pyspark.sql import functions as F
 
 LIST = 200_000  # entries of a reference list that is broadcast
 REMEMBERED = 400_000  # names and words a worker remembers
-CHOICES = 4  # readings of one word that are tried
+COMBINATIONS = 16  # of readings that are tried one by one; beyond, the entries are asked which of them they hold
 
 # Words of remark, Greek letters by name.
 REMARKS = "putative probable possible predicted potential presumed likely partial fragment truncated like similar homolog homologue conserved".split()
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "σ": "sigma", "ω": "omega"}
 ALIKE = {frozenset(x) for x in ("0o", "1l", "1i", "5s", "il", "uv", "mn")}
 
-_BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
+_BRACKETS = ("()", "[]", "{}")
 _DASHES = re.compile(r"[‐-―−­﹘﹣－]")
 _ZERO = re.compile(r"(?<=[a-z])0|0(?=[a-z])")
 
 
+def unbracketed(s: str) -> str:
+    """The text without what stands in closed brackets, however deep; a bracket without its partner stays."""
+    for left, right in _BRACKETS:
+        if left not in s or right not in s:
+            continue
+        out: list[str] = []
+        opened: list[int] = []
+        for c in s:
+            if c == left:
+                opened.append(len(out))
+                out.append(c)
+            elif c == right and opened:
+                del out[opened.pop() :]
+                out.append(" ")
+            else:
+                out.append(c)
+        s = "".join(out)
+    return s
+
+
 def normalise(name: str) -> str:
     s = unicodedata.normalize("NFKC", name).lower()
     s = _DASHES.sub("-", s)
     for g, w in GREEK.items():
         if g in s:
             s = s.replace(g, w)
-    for _ in range(3):
-        s, n = _BRACKETS.subn(" ", s)
-        if not n:
-            break
-    return _ZERO.sub("o", s)
+    return _ZERO.sub("o", unbracketed(s))
 
 
 def distance(a: str, b: str) -> float:
@@ -108,9 +127,9 @@ def within(a: str, b: str, most: int) -> bool:
 class Dictionary:
     """Reference entries by their words, and the symmetric-delete index of these words."""
 
-    def __init__(self, entries: list[tuple[int, str]], frequency: dict[str, int] | None = None):
+    def __init__(self, entries: list[tuple[int, str]], frequency: dict[str, int] | None = None, remarks: list[str] | None = None):
         self.entries: dict[tuple, list[tuple[int, int]]] = {}
-        self.words: dict[str, tuple[str, ...]] = {w: () for w in REMARKS}
+        self.words: dict[str, tuple[str, ...]] = {w: () for w in (REMARKS if remarks is None else remarks)}
         for number, name in entries:
             bag = []
             for chunk in re.findall(r"[\w-]+", normalise(name)):
@@ -121,6 +140,11 @@ class Dictionary:
                 if len(pieces) > 1:
                     self.words.setdefault("".join(pieces), tuple(pieces))
             self.entries.setdefault(tuple(sorted(bag)), []).append((-(frequency or {}).get(name, 0), number))
+        self.holders: dict[str, set[tuple]] = {}
+        for bag in self.entries:
+            for w in bag:
+                self.holders.setdefault(w, set()).add(bag)
+        self.widest = max(map(len, self.entries), default=0)
         self.index: dict[str, list[str]] = {}
         for w in self.words:
             for form in deletes(w, allowed(w)):
@@ -129,7 +153,7 @@ class Dictionary:
         for w in self.words:
             for k in range(2, len(w)):
                 self.starts.setdefault(w[:k], []).append(w)
-        self.longest = 2 * max(map(len, self.words)) + 1  # no reading is possible for longer words
+        self.longest = 2 * max(map(len, self.words), default=0) + 1  # no reading is possible for longer words
         self._seen: dict[tuple[str, bool], list[tuple[float, tuple[str, ...]]]] = {}
 
     def readings(self, word: str, short: bool) -> list[tuple[float, tuple[str, ...]]]:
@@ -153,7 +177,7 @@ class Dictionary:
         if len(word) >= (2 if short else 4):
             for w in self.starts.get(word, ()):
                 found.setdefault(self.words[w], 0.3 if short else 0.9)
-        out = sorted((c, w) for w, c in found.items())[:CHOICES]
+        out = sorted((c, w) for w, c in found.items())
         if len(self._seen) >= REMEMBERED:
             self._seen.clear()
         self._seen[word, short] = out
@@ -162,36 +186,89 @@ class Dictionary:
     def lookup(self, name: str) -> int:
         """The number of the entry a name means, or -1."""
         found = [(m.group(1), m.group(2) == ".") for m in re.finditer(r"([^\W_]+)(\.?)", normalise(name))]
-        choices = [self.readings(w, dot) for w, dot in found]
-        if not choices or not all(choices):
+        choices = []
+        for w, dot in found:
+            choices.append(self.readings(w, dot))
+            if not choices[-1]:
+                return -1
+        if not choices or sum(all(words for _, words in c) for c in choices) > self.widest:
             return -1
         best = None
-        for pick in product(*choices):
-            bag = tuple(sorted(p for _, words in pick for p in words))
-            for rank in self.entries.get(bag, ()):
-                cost = (round(sum(c for c, _ in pick), 6), *rank)
-                if best is None or cost < best:
-                    best = cost
+        if prod(len(c) for c in choices) <= COMBINATIONS:
+            costs: dict[tuple, float] = {}
+            for pick in product(*choices):
+                bag = tuple(sorted(p for _, words in pick for p in words))
+                cost = sum(c for c, _ in pick)
+                if bag in self.entries and cost < costs.get(bag, 1e9):
+                    costs[bag] = cost
+        else:
+            costs = self._covers(choices)
+        for bag, cost in costs.items():
+            for rank in self.entries[bag]:
+                key = (round(cost, 6), *rank)
+                if best is None or key < best:
+                    best = key
         return best[2] if best else -1
 
+    def _covers(self, choices: list[list[tuple[float, tuple[str, ...]]]]) -> dict[tuple, float]:
+        """Cost of each entry that holds exactly one reading of every word and nothing else."""
+        held: set[tuple] | None = None
+        need = [c for c in choices if all(words for _, words in c)]
+        for c in sorted(need, key=len):
+            mine: set[tuple] = set()
+            for _, words in c:
+                if held is None:
+                    mine |= min((self.holders.get(w, set()) for w in words), key=len)
+                else:
+                    mine |= {bag for bag in held if words[0] in bag}
+            held = mine
+            if not held:
+                return {}
+        out = {}
+        for bag in self.entries if held is None else held:
+            if len(bag) < len(need):
+                continue
+            inside = set(bag)
+            left = [[(cost, words) for cost, words in c if inside.issuperset(words)] for c in choices]
+            states = {bag: 0.0}  # what of the entry is still open -> smallest cost so far
+            for c in sorted(left, key=len):
+                after: dict[tuple, float] = {}
+                for rest, so_far in states.items():
+                    for cost, words in c:
+                        open_ = _without(rest, words)
+                        if open_ is not None and so_far + cost < after.get(open_, 1e9):
+                            after[open_] = so_far + cost
+                states = after
+            if () in states:
+                out[bag] = states[()]
+        return out
+
+
+def _without(bag: tuple, words: tuple[str, ...]) -> tuple | None:
+    rest = list(bag)
+    for w in words:
+        if w not in rest:
+            return None
+        rest.remove(w)
+    return tuple(rest)
+
 
-def reference(rows: DataFrame, name: str, entries: DataFrame, entry_id: str, entry_name: str) -> tuple[Dictionary, list[str]]:
-    """The dictionary of a reference list, with how often each entry occurs letter for letter in ``rows``."""
+def reference(rows: DataFrame, name: str, entries: DataFrame, entry_id: str, entry_name: str, remarks: list[str] | None = None) -> tuple[Dictionary, DataFrame]:
+    """The dictionary of a reference list, with how often each entry occurs letter for letter in ``rows``; the distinct names (n) of the list."""
     held = entries.select(F.col(f"`{entry_id}`"), F.col(f"`{entry_name}`")).where(F.col(f"`{entry_name}`").isNotNull()).limit(LIST + 1).collect()
     if len(held) > LIST:
         raise ValueError(f"a reference list of more than {LIST} entries isn't broadcast")
-    names = sorted({r[1] for r in held})
     listed = entries.select(F.col(f"`{entry_name}`").alias("n")).distinct()
-    count = rows.select(F.col(f"`{name}`").alias("n")).join(listed, "n").groupBy("n").count()
-    return Dictionary([(r[0], r[1]) for r in held], {r["n"]: r["count"] for r in count.collect()}), names
+    count = rows.select(F.col(f"`{name}`").alias("n")).join(F.broadcast(listed), "n").groupBy("n").count()
+    return Dictionary([(r[0], r[1]) for r in held], {r["n"]: r["count"] for r in count.collect()}, remarks), listed
 
 
-def canonical(rows: DataFrame, key: str, name: str, entries: DataFrame, entry_id: str, entry_name: str) -> DataFrame:
+def canonical(rows: DataFrame, key: str, name: str, entries: DataFrame, entry_id: str, entry_name: str, remarks: list[str] | None = None) -> DataFrame:
     """Distinct (key, name, entry_id) of the rows whose name is neither null, blank nor an entry letter for letter; -1: no entry."""
-    words, names = reference(rows, name, entries, entry_id, entry_name)
+    words, listed = reference(rows, name, entries, entry_id, entry_name, remarks)
     known = rows.sparkSession.sparkContext.broadcast(words)
     df = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{name}`").alias("name")).where(F.col("key").isNotNull() & (F.length(F.regexp_replace("name", r"(?U)\s+", "")) > 0))
-    df = df.where(~F.col("name").isin(names)) if names else df
+    df = df.join(F.broadcast(listed.withColumnRenamed("n", "name")), "name", "left_anti").select("key", "name")  # at most LIST names
     kind = dict(df.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -58,3 +58,33 @@ def test_rows(spark):
     assert got == {(f"l{i}", v) for i, v in enumerate(MEANT.values())}
     assert canonical(df.limit(0), "locus_tag", "product", cat, "product_id", "canonical_name").count() == 0
     assert {x.product_id for x in canonical(df, "locus_tag", "product", cat.limit(0), "product_id", "canonical_name").collect()} == {-1}
+
+
+def test_no_reading_is_dropped():
+    """Right readings behind many others of equal cost; long names with many readings a word end at once."""
+    words = ["aa" + c for c in "bcdefghij"]
+    e = [(i, f"{w} kinase") for i, w in enumerate(words)] + [(50, "aac aad aae aaf aag aah aai")]
+    d = Dictionary(e)
+    assert len(d.readings("aa", True)) == len(words)
+    assert d.lookup("aa. kinase") == 0 and Dictionary([x for x in e if x[0] in (8, 50)]).lookup("aa. kin.") == 8
+    assert d.lookup("aa. " * 7) == 50 and d.lookup("aa. " * 8) == -1 and d.lookup("aa. " * 4000) == -1
+    brute = Dictionary(e)
+    r = random.Random(3)
+    import brindle.llm.spelling as sp
+
+    for _ in range(200):
+        name = " ".join(r.choice(["aa.", "aab", "aak", "kin.", "kinsae", "putative", "aaci"]) for _ in range(r.randint(1, 4)))
+        was = sp.COMBINATIONS
+        try:
+            sp.COMBINATIONS = 10**9
+            one = brute.lookup(name)
+            sp.COMBINATIONS = 0
+            assert d.lookup(name) == one, name
+        finally:
+            sp.COMBINATIONS = was
+
+
+def test_brackets():
+    from brindle.llm.spelling import unbracketed
+
+    assert unbracketed("a (b [c) d] e") == "a   d] e" and unbracketed("(" * 50000 + ")" * 50000 + "x") == " x" and unbracketed("a) (b") == "a) (b"
