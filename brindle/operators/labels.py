@@ -94,9 +94,29 @@ def columns_of(rules: list[tuple[str, list[tuple]]]) -> dict[str, str]:
     return out
 
 
+# Family of each label; labels of the families conj and rep go by their first part.
+FAMILIES = {
+    "phage.caudoviral.complete": "phage_caudoviral",
+    "phage.inovirus_like": "phage_inovirus",
+    "phage.GTA_like_or_particle_like": "phage_gta",
+    "phage.satellite_or_dependent": "phage_gta",
+    "phage.cryptic_prophage_footprint": "phage_gta",
+    "phage.PICI_like": "phage_pici",
+    "mob.integrative_transposon": "mob_element",
+    "mob.IS_heavy_microisland": "mob_element",
+    "mob.integron_like": "mob_element",
+    "mob.group2_intron_casposon": "mob_element",
+    "island.PAI_like": "island_module",
+    "island.RM_module": "island_module",
+    "island.TA_rich": "island_module",
+}
+
+
 def coarse(label: Column) -> Column:
-    """Family of a label."""
-    return F.when(label == "phage.caudoviral.complete", "phage_caudoviral").when(label == "phage.inovirus_like", "phage_inovirus").when(label.startswith("phage."), "phage_gta").when(label == OTHER, "unclassified").otherwise(F.substring_index(label, ".", 1))
+    """Family of a label; white space around it goes, null and unknown labels are unclassified."""
+    l = F.trim(F.coalesce(label, F.lit("")))
+    known = F.coalesce(*[F.when(l == name, F.lit(family)) for name, family in FAMILIES.items()])
+    return F.coalesce(known, F.when(l.startswith("conj."), "conj").when(l.startswith("rep."), "rep").otherwise("unclassified"))
 
 
 def confidence(core: Column, top: Column) -> Column:

@@ -31,12 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is read from ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) a temporary folder of this machine takes its place."""
+    """The folder all executors share. It is read from ``spark.checkpoint.dir``; only where that is unset and the
+    session runs in this process alone (tests, local runs) a temporary folder of this machine takes its place."""
     sc = spark.sparkContext
     if (at := sc._jsc.sc().getCheckpointDir()).isDefined():
         return at.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir isn't set: a folder that all executors share is needed")
+        folder = tempfile.mkdtemp(prefix="brindle-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 

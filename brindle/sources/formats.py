@@ -81,21 +81,27 @@ def last_model(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-_TRNA = re.compile(r"^\s*\d+\s+(\S+)\s+(c?)\[(-?\d+),(-?\d+)\]")
+_TRNA = re.compile(r"([fc]?)\[(\d+),(\d+)\]")
 
 
 def _trna_lines(text: str) -> Iterator[tuple]:
-    contig, lines = None, text.splitlines()
-    for i, line in enumerate(lines):
-        if line.startswith(">"):
-            contig = line[1:].split()[0] if line[1:].split() else ""
-        elif contig is not None and (m := _TRNA.match(line)):
-            a, b = int(m.group(3)), int(m.group(4))
-            yield contig, min(a, b), max(a, b), "-" if m.group(2) else "+", m.group(1)
+    """Blocks of a header line, a line that begins with the number of records, and so many records. Lines behind the
+    announced records belong to no block; a record whose third field has no coordinates is left out."""
+    lines = iter(text.splitlines())
+    for line in lines:
+        if not line.startswith(">"):
+            continue
+        contig = (line[1:].split() or [""])[0]
+        told = re.match(r"\s*(\d+)", next(lines, ""))
+        for _ in range(int(told.group(1)) if told else 0):
+            f = next(lines, "").split()
+            if len(f) >= 3 and (m := _TRNA.match(f[2])):
+                a, b = int(m.group(2)), int(m.group(3))
+                yield contig, min(a, b), max(a, b), "-" if m.group(1) == "c" else "+", f[1]
 
 
 def trna(spark: SparkSession, path: str) -> DataFrame:
-    """(file, contig, start, end, strand, trna_type) of a block report: header, count line, numbered records with [s,e] or c[s,e]."""
+    """(file, contig, start, end, strand, trna_type) of a block report: header, count line, as many numbered records with [s,e], f[s,e] or c[s,e]."""
     return _whole(spark, path, _trna_lines, "contig string, start int, end int, strand string, trna_type string")
 
 

@@ -161,6 +161,24 @@ def test_tail_probabilities():
         n, row, col = a + b + c + d, a + b, a + c
         want = sum(math.comb(row, x) * math.comb(n - row, col - x) for x in range(a, min(row, col) + 1) if col - x <= n - row) / math.comb(n, col)
         assert abs(stats.fisher_greater(a, b, c, d) - want) < 1e-9
+    k, m = [3, 0, 900, 2_000_000], [2.0, 4.0, 850.0, 1_999_000.0]
+    assert [float(x) for x in stats.poisson_sf(k, m)] == [float(stats.poisson_sf(a, b)[0]) for a, b in zip(k, m)]
+    assert stats.fisher_greater([5, 2], [1, 2], [0, 2], [9, 2]).shape == (2,)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from brindle import session
+
+    class Context:
+        master = "spark://somewhere"
+        _jsc = type("J", (), {"sc": lambda self: type("C", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        sparkContext = Context()
+        conf = type("F", (), {"get": lambda self, key, default=None: default})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
 
 
 def test_false_discovery(spark):

@@ -82,7 +82,27 @@ def test_every_label_has_a_case_that_reaches_it(spark):
     shuffled = lb.labelled(df.orderBy(F.rand(3)).repartition(5), lb.ELEMENT_RULES, lb.OTHER).collect()
     assert {x.meant: x.label for x in shuffled} == got
     c = {x[0] for x in lb.labelled(df, lb.ELEMENT_RULES, lb.OTHER).select(lb.coarse(F.col("label"))).collect()}
-    assert c == {"conj", "phage_caudoviral", "phage_inovirus", "phage_gta", "mob", "island", "rep", "unclassified"}
+    assert c == {"conj", "phage_caudoviral", "phage_inovirus", "phage_gta", "phage_pici", "mob_element", "island_module", "rep", "unclassified"}
+
+
+def test_families_of_labels(spark):
+    want = {
+        "phage.PICI_like": "phage_pici",
+        "phage.satellite_or_dependent": "phage_gta",
+        " phage.caudoviral.complete ": "phage_caudoviral",
+        "phage.something_new": "unclassified",
+        "mob.integron_like": "mob_element",
+        "mob.other": "unclassified",
+        "island.TA_rich": "island_module",
+        "island.x": "unclassified",
+        "conj.anything": "conj",
+        "rep.x": "rep",
+        "other.unclassified_IE": "unclassified",
+        "": "unclassified",
+        None: "unclassified",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "label string")
+    assert {x.label: x.c for x in df.select("label", lb.coarse(F.col("label")).alias("c")).collect()} == want
 
 
 def test_unknown_conditions_are_refused():

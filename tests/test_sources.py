@@ -65,6 +65,12 @@ def test_whole_file_formats(spark, tmp_path):
     assert fm.genbank_cds(spark, e).count() == 0
 
 
+def test_block_report_counts_and_prefixes(spark, tmp_path):
+    """A forward prefix is a record like any other; lines behind the announced records, and records without coordinates, are none."""
+    t = put(tmp_path, "t.txt", ">c1 x\n3 genes found\n1 tRNA-Ala f[5,80] 33 (tgc)\n2 tRNA-? nowhere 3\n3 tRNA-Gly c[90,170] 33 (gcc)\n4 tRNA-Val [200,270] 33\n>c2\nno genes\n1 tRNA-Val [1,70] 33\n>7\n1 gene found\n1 tmRNA [2,300] 1,2\n>end\n2 genes found\n1 tRNA-Leu [3,77]")
+    assert [(x.contig, x.start, x.end, x.strand, x.trna_type) for x in fm.trna(spark, t).collect()] == [("c1", 5, 80, "+", "tRNA-Ala"), ("c1", 90, 170, "-", "tRNA-Gly"), ("7", 2, 300, "+", "tmRNA"), ("end", 3, 77, "+", "tRNA-Leu")]
+
+
 def test_status_manifest_and_systems(spark, tmp_path):
     p = put(tmp_path, "p.csv", "seqid,system,start,end\ns,RM_type_II,90,10\ns,CBASS,1,2\n")
     assert [tuple(x) for x in fm.padloc(spark, p).collect()] == [("s", "RM_type_II", 10, 90)]
