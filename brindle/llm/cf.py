@@ -10,8 +10,9 @@ assignment pass places a record at home in one group and as a visitor in all tho
 asks for (see setjoin; outliers go to the cells of their rarest tokens); alike pairs are then checked exactly
 within cells and the chains closed by connected components. No alike pair is lost.
 
-Centroids of inner tree nodes would be sums of unrelated sparse vectors, so leaves are found through an inverted
-index over their features and not by descending through such nodes.
+Centroids of inner tree nodes would be sums of unrelated sparse vectors, so leaves are found by comparing projections
+with all of them at once and not by descending through such nodes. There is a leaf for every SHARE classes, up to LEAVES;
+beyond, more records are outliers, at the price of more rows in token cells and not of lost pairs.
 """
 
 from __future__ import annotations
@@ -24,94 +25,109 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.knn import DIMS, project
 from brindle.llm.setjoin import Pivots, classes, frequent_tokens, join_cells, place
 from brindle.operators.graph import connected_components
 from brindle.session import cut_table
 
-LEAVES = 4_096  # leaves of a tree, at most
+LEAVES = 32_768  # leaves of a tree, at most
+SHARE = 8  # records for each leaf wanted, while there are fewer leaves than that
 WARD_LEAVES = 2_048  # heaviest leaves that Ward's criterion looks at; the others stay groups of their own
 ABSORB = 0.72  # cosine to a leaf's centroid from which it takes a record
-WIDE = 256  # features of more leaves than this do not propose leaves
+BATCH = 512  # records that are compared at once
 FAN_IN = 8  # trees merged by one task
 WARD_CUT = 0.5  # squared distance of unit centroids up to which leaves are agglomerated
 
 
 class Leaves:
-    """A bounded list of cluster features that takes records or other leaves."""
+    """A bounded list of cluster features that takes batches of records or of other leaves.
 
-    def __init__(self, cap: int = LEAVES):
+    Leaves and records are compared by their projections (see knn.project), so a batch is one product; a record that no
+    leaf takes opens one, and the rest of its batch is compared with that too. The sums stay exact.
+    """
+
+    def __init__(self, cap: int):
         self.cap = cap
-        self._reset()
-
-    def _reset(self) -> None:
-        self.n: list[int] = []
-        self.sums: list[dict[int, float]] = []
-        self.square: list[float] = []
-        self.posts: dict[int, list[int]] = {}
-
-    def add(self, tokens: list[int], weights: list[float], n: int) -> None:
-        score: dict[int, float] = {}
-        for t, w in zip(tokens, weights):
-            p = self.posts.get(t)
-            if p and len(p) <= WIDE:
-                for i in p:
-                    score[i] = score.get(i, 0.0) + w * self.sums[i][t]
-        size = sum(w * w for w in weights) ** 0.5
-        best, cos = -1, ABSORB
-        for i, s in score.items():
-            c = s / (size * self.square[i] ** 0.5)
-            if c >= cos:
-                best, cos = i, c
-        if best < 0:
-            best = len(self.n)
-            self.n.append(0)
-            self.sums.append({})
-            self.square.append(0.0)
-        mine = self.sums[best]
-        for t, w in zip(tokens, weights):
-            old = mine.get(t)
-            if old is None:
-                self.posts.setdefault(t, []).append(best)
-                old = 0.0
-            mine[t] = old + w
-            self.square[best] += 2 * old * w + w * w
-        self.n[best] += n
-        if len(self.n) > 2 * self.cap:
-            self.trim()
+        self.n = np.zeros(0, dtype=np.int64)
+        self.p = np.zeros((0, DIMS), dtype=np.float32)  # projected sums
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (leaf, token, weight) as they came
+
+    def add(self, tokens: list[np.ndarray], weights: list[np.ndarray], n: np.ndarray) -> None:
+        for i in range(0, len(tokens), BATCH):
+            self._add(tokens[i : i + BATCH], weights[i : i + BATCH], np.asarray(n[i : i + BATCH], dtype=np.int64))
+            if len(self.n) > 2 * self.cap:
+                self.trim()
+
+    def _add(self, tokens: list[np.ndarray], weights: list[np.ndarray], n: np.ndarray) -> None:
+        x = project(tokens, weights)
+        x /= np.maximum(np.sqrt((x * x).sum(1))[:, None], 1e-12)
+        at = np.full(len(x), -1)
+        m = len(self.n)
+        if m:
+            cos = x @ (self.p / np.maximum(np.sqrt((self.p**2).sum(1))[:, None], 1e-12)).T
+            best = cos.argmax(1)
+            at = np.where(cos[np.arange(len(x)), best] >= ABSORB, best, -1)
+        open_ = np.flatnonzero(at < 0)
+        alike = x[open_] @ x[open_].T >= ABSORB
+        taken = np.zeros(len(open_), dtype=bool)
+        for i in range(len(open_)):
+            if not taken[i]:
+                mine = np.flatnonzero(alike[i] & ~taken)
+                at[open_[mine]] = m
+                taken[mine] = taken[i] = True
+                at[open_[i]] = m
+                m += 1
+        self.n = np.r_[self.n, np.zeros(m - len(self.n), dtype=np.int64)]
+        self.p = np.concatenate([self.p, np.zeros((m - len(self.p), DIMS), dtype=np.float32)])
+        size = np.array([np.sqrt((w * w).sum()) for w in weights], dtype=np.float32)
+        np.add.at(self.n, at, n)
+        np.add.at(self.p, at, x * size[:, None])
+        self.held.append((np.repeat(at, [len(t) for t in tokens]), np.concatenate(tokens), np.concatenate(weights)))
 
     def trim(self) -> None:
         """Keeps the heaviest leaves; the rest are outliers."""
-        keep = sorted(range(len(self.n)), key=lambda i: (-self.n[i], i))[: self.cap]
-        old = [(self.sums[i], self.n[i], self.square[i]) for i in keep]
-        self._reset()
-        for i, (s, n, sq) in enumerate(old):
-            self.sums.append(s), self.n.append(n), self.square.append(sq)
-            for t in s:
-                self.posts.setdefault(t, []).append(i)
+        keep = np.sort(np.lexsort((np.arange(len(self.n)), -self.n))[: self.cap])
+        new = np.full(len(self.n), -1)
+        new[keep] = np.arange(len(keep))
+        leaf, token, weight = self._sums()
+        ok = new[leaf] >= 0
+        self.held = [(new[leaf[ok]], token[ok], weight[ok])]
+        self.n, self.p = self.n[keep], self.p[keep]
+
+    def _sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        leaf, token, weight = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((token, leaf))
+        leaf, token, weight = leaf[order], token[order], weight[order]
+        start = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (token[1:] != token[:-1])])
+        return leaf[start], token[start], np.add.reduceat(weight, start)
 
     def rows(self) -> pd.DataFrame:
+        if not len(self.n):
+            return pd.DataFrame({"n": [], "tokens": [], "counts": []}, dtype=object)
         if len(self.n) > self.cap:
             self.trim()
-        return pd.DataFrame({"n": self.n, "tokens": [list(s) for s in self.sums], "counts": [list(s.values()) for s in self.sums]}, dtype=object)
+        leaf, token, weight = self._sums()
+        cuts = np.flatnonzero(np.r_[leaf[1:] != leaf[:-1]]) + 1
+        return pd.DataFrame({"n": self.n, "tokens": np.split(token, cuts), "counts": np.split(weight, cuts)}, dtype=object)
 
 
-def leaf_summaries(groups: DataFrame) -> pd.DataFrame:
-    """The leaves of all partitions, tree-reduced to at most LEAVES rows."""
+def leaf_summaries(groups: DataFrame, cap: int) -> pd.DataFrame:
+    """The leaves of all partitions, tree-reduced to at most ``cap`` rows."""
     fields = "part int, n long, tokens array<bigint>, counts array<double>"
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tree = Leaves()
+        tree = Leaves(cap)
         for b in batches:
-            for tokens, n in zip(b["tokens"], b["n"]):
-                tree.add(tokens.tolist(), [1.0] * len(tokens), int(n))
+            tokens = b["tokens"].tolist()
+            tree.add(tokens, [np.ones(len(t)) for t in tokens], b["n"].to_numpy())
         yield tree.rows().assign(part=TaskContext.get().partitionId())[["part", "n", "tokens", "counts"]]
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Leaves()
-        for r in pdf.sort_values(["n", "part"], ascending=[False, True], kind="stable").itertuples():
-            tree.add(r.tokens.tolist(), r.counts.tolist(), int(r.n))
+        tree = Leaves(cap)
+        pdf = pdf.sort_values(["n", "part"], ascending=[False, True], kind="stable")
+        tree.add(pdf["tokens"].tolist(), pdf["counts"].tolist(), pdf["n"].to_numpy())
         return tree.rows().assign(part=int(key[0]))[["part", "n", "tokens", "counts"]]
 
     width = groups.rdd.getNumPartitions()
@@ -173,11 +189,12 @@ def ward(leaves: pd.DataFrame, cut_at: float = WARD_CUT) -> np.ndarray:
 
 def assigned(groups: DataFrame, threshold: Fraction) -> DataFrame:
     """Every class placed in the Ward groups of the leaves (see setjoin.place)."""
-    leaves = leaf_summaries(groups)
+    n = groups.count()
+    leaves = leaf_summaries(groups, max(64, min(LEAVES, n // SHARE)))
     held = [(np.array(sorted(t for t, c in zip(tokens, counts) if 2 * c >= n), dtype=np.int64), w) for tokens, counts, n, w in zip(leaves["tokens"], leaves["counts"], _records(leaves), ward(leaves))]
     held = [(s, w) for s, w in held if len(s)]
     pivots = Pivots([s for s, _ in held], np.array([w for _, w in held], dtype=np.int64))
-    return place(groups, pivots, frequent_tokens(groups, groups.count()), threshold, 0.45)
+    return place(groups, pivots, frequent_tokens(groups, n), threshold, 0.45)
 
 
 def _records(leaves: pd.DataFrame) -> list[float]:

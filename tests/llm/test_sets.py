@@ -77,13 +77,40 @@ def test_empty(spark):
 
 
 def test_leaves_merge_adds_features():
-    one, two = cf.Leaves(), cf.Leaves()
-    for t in ([1, 2, 3, 4], [1, 2, 3, 5], [9, 10, 11]):
-        one.add(t, [1.0] * len(t), 1)
-    for r in one.rows().itertuples():
-        two.add(r.tokens, r.counts, r.n)
-    assert sorted(two.n) == [1, 2]
-    assert all(abs(q - sum(w * w for w in s.values())) < 1e-9 for q, s in zip(two.square, two.sums))
+    """Leaves of two partitions, merged, hold the sums of all vectors; copies and near copies share a leaf."""
+    r = random.Random(8)
+    hashed = lambda v: np.array(sorted(hash(("t", x)) for x in v), dtype=np.int64)
+    base = [[f"{i}.{j}" for j in range(20)] for i in range(30)]
+    records = [hashed(r.sample(base[i % 30], 18)) for i in range(600)]
+    parts = []
+    for half in (records[:300], records[300:]):
+        leaves = cf.Leaves(64)
+        leaves.add(half, [np.ones(len(t)) for t in half], np.full(len(half), 2))
+        parts.append(leaves.rows())
+    merged = cf.Leaves(64)
+    for p in parts:
+        merged.add(p["tokens"].tolist(), p["counts"].tolist(), p["n"].to_numpy())
+    rows = merged.rows()
+    assert len(rows) <= 34 and rows["n"].sum() == 1200  # thirty groups, hardly one of them split
+    total = {}
+    for tokens, counts in zip(rows["tokens"], rows["counts"]):
+        for t, c in zip(tokens.tolist(), counts.tolist()):
+            total[t] = total.get(t, 0) + c
+    want = {}
+    for x in records:
+        for t in x.tolist():
+            want[t] = want.get(t, 0) + 1
+    assert total == want
+
+
+def test_a_bounded_list_keeps_the_heaviest_leaves():
+    leaves = cf.Leaves(5)
+    sets = [np.arange(i * 100, i * 100 + 10, dtype=np.int64) * 0x9E3779B97F4A7 for i in range(40)]
+    for i, t in enumerate(sets):
+        leaves.add([t], [np.ones(10)], np.array([100 - i]))
+    rows = leaves.rows()
+    assert len(rows) == 5 and rows["n"].max() == 100 and rows["n"].sum() >= 100 + 99 + 98
+    assert len(cf.Leaves(5).rows()) == 0
 
 
 def test_pivot_distances_are_exact():
