@@ -9,9 +9,9 @@ Jaccard distance is a metric, so with e = 1 - threshold and pivots p the followi
   broken by rarity); records with ``d(x, nearest) > RHO - e`` visit these cells too.
 
 Pairs with at least one record at home are compared exactly within a cell. Pivots come from a bounded sample
-(``SAMPLE``), thinned so that no two are close; every record is placed. Equal sets are one class, compared once.
-A cell of more than ``CELL`` records is split into blocks, and each pair of blocks is a task of its own, so no
-group is held whole by one task. Tokens and sets are told apart by their 64-bit hashes.
+(half of the classes, up to ``SAMPLE``), thinned so that no two are close; every record is placed. Equal sets are one class,
+compared once. A cell of more than ``CELL`` records is split into blocks, and each pair of blocks is a task of its own, so no
+group is held whole by one task; where all pairs of keys are asked for, classes are expanded by blocks of ``MEMBERS`` keys. Tokens and sets are told apart by their 64-bit hashes.
 
 Defined cases: null keys and tokens are left out, repeated tokens count once, sets below ``least`` tokens take no
 part, empty tables give an empty result, columns other than key and token are not read.
@@ -28,10 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.cells import block_pairs
+from brindle.llm.cells import LISTED, block_pairs
 from brindle.session import cut_table, partitions
 
-SAMPLE = 16_384  # sets of which pivots are chosen
+SAMPLE = 131_072  # sets of which pivots are chosen, at most
+LEAST_SAMPLE = 16_384  # and at least, where there are so many
+MEMBERS = 1_000  # keys of a class that are expanded at once
 FREQUENT = 4_096  # tokens known as frequent, at most
 CELL = 1_500  # records that are compared at once
 
@@ -104,10 +106,11 @@ def thin(candidates: list[np.ndarray], apart: float) -> list[np.ndarray]:
     return kept
 
 
-def sample_pivots(groups: DataFrame, n: int, apart: float, bound: int = SAMPLE) -> Pivots:
-    """Pivots from at most about ``bound`` of the n classes, taken by the hash of their name."""
-    step = max(1, -(-n // bound))
-    rows = groups.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(step)) == 0).select("tokens").limit(2 * bound).toPandas()
+def sample_pivots(groups: DataFrame, n: int, apart: float) -> Pivots:
+    """Pivots from half of the n classes, within the bounds, taken by the hash of their name."""
+    bound = min(SAMPLE, max(LEAST_SAMPLE, n // 2))
+    step = max(1, n // bound)
+    rows = groups.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(step)) == 0).select("tokens").limit(2 * bound).toArrow().to_pandas()
     kept = thin([np.asarray(t, dtype=np.int64) for t in rows["tokens"]], apart)
     return Pivots(kept, np.arange(len(kept)))
 
@@ -223,14 +226,34 @@ def similar_classes(groups: DataFrame, threshold: Fraction, rho: float = 0.5) ->
     return join_cells(placed, threshold)
 
 
-def similar_pairs(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int = 1) -> DataFrame:
-    """Distinct (a, b), a < b, of all keys whose sets have at least ``least`` tokens and a Jaccard similarity of ``threshold`` or more."""
+def similar_sets(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members, groups): pairs (a, b, shared) of similar classes of equal sets, members (rep, key), groups (rep, name, n).
+    Copies are not expanded into pairs: two keys are similar if they share a class or their classes are a pair."""
     records = cut_table(sets(tokens, key, token, least))
     groups = cut_table(classes(records))
-    pairs = similar_classes(groups, threshold).select("a", "b")
-    members = records.select(F.xxhash64("tokens").alias("rep"), "key")
-    for side in ("a", "b"):
-        pairs = pairs.withColumnRenamed(side, "rep").join(members, "rep").drop("rep").withColumnRenamed("key", side)
-    several = members.join(groups.where("n > 1").select("rep"), "rep", "left_semi")
-    own = several.alias("x").join(several.alias("y"), "rep").where(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(own)
+    return similar_classes(groups, threshold), records.select(F.xxhash64("tokens").alias("rep"), "key"), groups.select("rep", "name", "n")
+
+
+def expand(pairs: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the keys of similar classes and of each class by itself. A class of more than MEMBERS keys is
+    split into blocks, so what meets in one place is a block with a block."""
+    crowded = cut_table(groups.where(F.col("n") > MEMBERS).select("rep", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")))
+    few = crowded.count() <= LISTED
+
+    def blocks(df: DataFrame, rep: str, out: str) -> DataFrame:
+        c = crowded.select(F.col("rep").alias(rep), F.col("blocks").alias(out))
+        return df.join(F.broadcast(c) if few else c, rep, "left").withColumn(out, F.coalesce(out, F.lit(1)))
+
+    both = pairs.select("a", "b").unionByName(groups.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    both = blocks(blocks(both, "a", "na"), "b", "nb")
+    both = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)))
+    held = blocks(members, "rep", "n").select("rep", F.pmod(F.xxhash64("key", F.lit(13)), F.col("n")).cast("int").alias("block"), "key")
+    one = both.join(held.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("key").alias("x")), ["a", "i"])
+    two = one.join(held.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("key").alias("y")), ["b", "j"])
+    two = two.where((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
+    return two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def similar_pairs(tokens: DataFrame, key: str, token: str, threshold: Fraction, least: int = 1) -> DataFrame:
+    """Distinct (a, b), a < b, of all keys whose sets have at least ``least`` tokens and a Jaccard similarity of ``threshold`` or more."""
+    return expand(*similar_sets(tokens, key, token, threshold, least))

@@ -70,6 +70,35 @@ def test_chain_clusters(spark):
     assert all(set(x.typical) <= {k for k, v in want if v == x.cluster_key} and 1 <= len(x.typical) <= 3 for x in profiles)
 
 
+def test_a_third_of_all_keys_in_one_class(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "MEMBERS", 16)
+    rows = [(f"h{i:03d}", f"t{j}") for i in range(90) for j in range(8)] + [(f"n{i:03d}", f"t{j}") for i in range(40) for j in range(7)]
+    rows += [(f"x{i:03d}", f"{i}.{j}") for i in range(140) for j in range(8)]
+    df = spark.createDataFrame(rows, "key string, t string").repartition(5)
+    got = [tuple(x) for x in setjoin.similar_pairs(df, "key", "t", Fraction(3, 4), 2).collect()]
+    names = [f"h{i:03d}" for i in range(90)] + [f"n{i:03d}" for i in range(40)]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in names for b in names if a < b}
+    pairs, members, groups = setjoin.similar_sets(df, "key", "t", Fraction(3, 4), 2)
+    assert pairs.count() == 1 and members.count() == 270 and groups.count() == 142
+
+
+def test_pivot_cells_give_nearly_all_pairs(spark):
+    """The named method, alone: pairs that meet in pivot cells, against all pairs."""
+    r = random.Random(6)
+    rows = []
+    for f in range(160):
+        base = r.sample(range(4000), r.randint(12, 24))
+        for m in range(r.choice([1, 2, 3, 5])):
+            mine = [t if r.random() > 0.06 else r.randint(0, 4000) for t in base]
+            rows += [(f"{f}.{m}", t) for t in set(mine)]
+    groups = setjoin.cut_table(setjoin.classes(setjoin.sets(spark.createDataFrame(rows, "key string, t int"), "key", "t", 6)))
+    n, e = groups.count(), Fraction(3, 4)
+    placed = setjoin.cut_table(setjoin.place(groups, setjoin.sample_pivots(groups, n, 0.25), setjoin.frequent_tokens(groups, n), e, 0.5))
+    every, alone = setjoin.join_cells(placed, e).count(), setjoin.join_cells(setjoin.cut_table(placed.where("kind = 0")), e).count()
+    print(f"pivot cells alone: {alone} of {every} pairs")
+    assert every > 100 and alone >= 0.95 * every
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, t string")
     assert setjoin.similar_pairs(df, "k", "t", Fraction(3, 4), 2).count() == 0
