@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -88,21 +89,46 @@ class Pivots:
 
 
 def thin(candidates: list[np.ndarray], apart: float) -> list[np.ndarray]:
-    """The candidates, in order, that are farther than ``apart`` from every one kept before."""
+    """The candidates, in order, that are farther than ``apart`` from every one kept before.
+
+    Two sets that near share two of their rarest tokens, as many as a set may lack and two more (one for distances from 0.5);
+    sets are looked up by these pairs, which few others have.
+    """
+    if not candidates:
+        return []
+    flat = np.concatenate(candidates)
+    uniq, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(uniq), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(uniq))
     kept: list[np.ndarray] = []
-    posts: dict[int, list[int]] = {}
+    held: list[set[int]] = []
+    posts: dict[int | tuple[int, int], list[int]] = {}
+    k = 2 if apart < 0.5 else 1
+    at = 0
     for tokens in candidates:
-        shared: dict[int, int] = {}
-        for t in tokens.tolist():
-            p = posts.get(t)
-            if p and len(p) <= 400:
-                for i in p:
-                    shared[i] = shared.get(i, 0) + 1
-        if any(1 - n / (len(tokens) + len(kept[i]) - n) <= apart for i, n in shared.items()):
+        n = len(tokens)
+        mine = np.sort(rank[code[at : at + n]]).tolist()
+        at += n
+        rare = mine[: n - int(np.ceil((1 - apart) * n - 1e-9)) + k]
+        rare = list(combinations(rare, 2)) if k == 2 else rare
+        all_, seen = set(mine), set()
+        near = False
+        for t in rare:
+            for i in posts.get(t, ()):
+                if i not in seen:
+                    seen.add(i)
+                    shared = len(all_ & held[i])
+                    if 1 - shared / (n + len(held[i]) - shared) <= apart:
+                        near = True
+                        break
+            if near:
+                break
+        if near:
             continue
-        for t in tokens.tolist():
+        for t in rare:
             posts.setdefault(t, []).append(len(kept))
         kept.append(tokens)
+        held.append(all_)
     return kept
 
 

@@ -142,6 +142,25 @@ def test_a_bounded_list_keeps_the_heaviest_leaves():
     assert len(cf.Leaves(5).rows()) == 0
 
 
+def test_thinned_pivots_are_apart():
+    r = random.Random(5)
+    sets = []
+    for _ in range(300):
+        if sets and r.random() < 0.6:
+            x = set(r.choice(sets)) - {r.randint(0, 200)} | {r.randint(0, 200)}
+        else:
+            x = set(r.sample(range(200), r.randint(3, 12))) | {1000}
+        sets.append(np.array(sorted(x), dtype=np.int64))
+    sets = [np.array(x, dtype=np.int64) for x in dict.fromkeys(tuple(s.tolist()) for s in sets)]
+    for apart in (0.25, 0.4, 0.5, 0.7):
+        kept, want = setjoin.thin(sets, apart), []
+        for x in map(set, (s.tolist() for s in sets)):
+            if all(1 - len(x & y) / len(x | y) > apart + 1e-12 for y in want):
+                want.append(x)
+        assert [set(k.tolist()) for k in kept] == want
+    assert setjoin.thin([], 0.25) == []
+
+
 def test_pivot_distances_are_exact():
     r = random.Random(4)
     sets = [np.array(sorted(r.sample(range(60), r.randint(2, 12)) + [1000]), dtype=np.int64) for _ in range(300)]
