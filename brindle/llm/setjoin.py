@@ -19,6 +19,7 @@ part, empty tables give an empty result, columns other than key and token are no
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -100,36 +101,32 @@ def thin(candidates: list[np.ndarray], apart: float) -> list[np.ndarray]:
     uniq, code, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(uniq), dtype=np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(uniq))
-    kept: list[np.ndarray] = []
-    held: list[set[int]] = []
-    posts: dict[int | tuple[int, int], list[int]] = {}
     k = 2 if apart < 0.5 else 1
-    at = 0
-    for tokens in candidates:
-        n = len(tokens)
-        mine = np.sort(rank[code[at : at + n]]).tolist()
-        at += n
-        rare = mine[: n - int(np.ceil((1 - apart) * n - 1e-9)) + k]
-        rare = list(combinations(rare, 2)) if k == 2 else rare
-        all_, seen = set(mine), set()
-        near = False
-        for t in rare:
-            for i in posts.get(t, ()):
-                if i not in seen:
-                    seen.add(i)
-                    shared = len(all_ & held[i])
-                    if 1 - shared / (n + len(held[i]) - shared) <= apart:
-                        near = True
-                        break
-            if near:
-                break
+    ranks = np.split(rank[code], np.cumsum([len(c) for c in candidates])[:-1])
+    keys, ends = array("q"), []
+    for n, mine in zip(map(len, ranks), ranks):
+        mine.sort()
+        rare = mine[: n - int(np.ceil((1 - apart) * n - 1e-9)) + k].tolist()
+        keys.extend((a << 32 | b for a, b in combinations(rare, 2)) if k == 2 else rare)
+        ends.append(len(keys))
+    keys = np.array(keys, dtype=np.int64)
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    number = np.where(count[number] > 1, number, -1)  # a key of one set alone leads to nobody
+    kept: list[int] = []
+    posts: dict[int, list[int]] = {}
+    for c, (start, end) in enumerate(zip([0, *ends], ends)):
+        mine = number[start:end]
+        mine = mine[mine >= 0].tolist()
+        near = {i for x in mine for i in posts.get(x, ())}
+        n = len(candidates[c])
         if near:
-            continue
-        for t in rare:
-            posts.setdefault(t, []).append(len(kept))
-        kept.append(tokens)
-        held.append(all_)
-    return kept
+            all_ = set(candidates[c].tolist())
+            if any(1 - shared / (n + len(candidates[i]) - shared) <= apart for i in near for shared in [len(all_.intersection(candidates[i].tolist()))]):
+                continue
+        for x in mine:
+            posts.setdefault(x, []).append(c)
+        kept.append(c)
+    return [candidates[c] for c in kept]
 
 
 def sample_pivots(groups: DataFrame, n: int, apart: float) -> Pivots:
