@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,5 +56,50 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         p.write.mode("overwrite").text(f"{path}/{i:02d}")
 
 
+def write_genbank(records: DataFrame, features: DataFrame, path: str) -> None:
+    """Flat files of records (record, seq) with their CDS features (record, start, end, strand, locus_tag, product), one text row a record.
 
-__all__ = ["flattened", "numbered", "write_by", "write_fasta", "write_graphml", "write_jsonl", "write_tsv"]
+    Features are gathered by record; a record is one element and holds a bounded number of them.
+    """
+    place = F.concat(F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
+    place = F.when(F.col("strand").isin("-", "-1"), F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
+    quote = lambda name: F.when(F.coalesce(F.col(name), F.lit("")) != "", F.concat(F.lit(f'\n                     /{name}="'), F.replace(F.col(name), F.lit('"'), F.lit("'")), F.lit('"'))).otherwise("")
+    text = F.concat(F.lit("     CDS             "), place, quote("locus_tag"), quote("product"))
+    cds = features.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", text.alias("t")))), lambda x: x["t"]), "\n").alias("_cds"))
+    n = F.length("seq").cast("string")
+    blocks = F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1)), F.lit(60))
+    line = lambda i: F.concat(F.lpad(i.cast("string"), 9, " "), F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring(F.col("seq"), i, 60)), "(.{1,10})", "$1 ")))
+    lines = F.array_join(F.transform(blocks, line), "\n")
+    head = F.concat(F.lit("LOCUS       "), F.col("record"), F.lit(" "), n, F.lit(" bp    DNA\nFEATURES             Location/Qualifiers\n     source          1.."), n, F.lit("\n"))
+    body = records.where("record is not null and seq is not null").join(cds, "record", "left")
+    body.select(F.concat(head, F.coalesce(F.concat("_cds", F.lit("\n")), F.lit("")), F.lit("ORIGIN\n"), lines, F.lit("\n//")).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_rejected(rejected: DataFrame, path: str, stage: str) -> None:
+    """Rejected rows of a stage (key, reason) are appended to a table of its own; repeated calls with the same rows add nothing twice
+    to what ``rejected_rows`` reads."""
+    rejected.select(F.lit(stage).alias("stage"), F.col("key").cast("string").alias("key"), "reason").write.mode("append").partitionBy("stage").parquet(path)
+
+
+def rejected_rows(df: DataFrame) -> DataFrame:
+    return df.select("stage", "key", "reason").distinct()
+
+
+def placeholder(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table with its columns where a stage has nothing to give, so that readers find it."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def markdown_report(title: str, tables: dict[str, DataFrame], most: int = 50) -> str:
+    """A report of value counts: a heading and a table for each. At most ``most`` rows of a table are shown, and the rest is counted."""
+    out = [f"# {title}"]
+    for name, df in tables.items():
+        n = df.count()
+        out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |" for row in df.limit(most).collect()]
+        if n > most:
+            out.append(f"\n{n - most} more rows")
+    return "\n".join(out) + "\n"
+
+
+__all__ = ["append_rejected", "flattened", "markdown_report", "numbered", "placeholder", "rejected_rows", "write_by", "write_fasta", "write_genbank", "write_graphml", "write_jsonl", "write_tsv"]
