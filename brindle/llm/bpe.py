@@ -4,7 +4,8 @@ A text is split by the vocabulary's pattern; each piece is merged with a segment
 whose leaves hold the rank of the pair that starts there and whose nodes hold the leftmost minimum. A merge
 updates three leaves (the pair itself, the one before it, the place that dies), so a piece of n bytes costs
 O(n log n), also a piece of megabytes without a space. Pieces seen before come from a bounded cache of the
-Python worker. Rows stay where they are: there is no shuffle.
+Python worker. Rows stay where they are: there is no shuffle. The vocabulary is read once by the driver and broadcast (a file
+above LARGEST is refused), so executors need no file of their own.
 
 Defined cases: null and empty texts give an empty list; strings that look like special tokens are ordinary
 text; repeated ids are encoded row by row; every text is encoded whole.
@@ -13,6 +14,7 @@ text; repeated ids are encoded row by row; every text is encoded whole.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +27,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 500_000  # pieces a worker remembers
 CACHED_BYTES = 64  # longer pieces are not remembered
+LARGEST = 64 << 20  # bytes of a vocabulary file
 NONE = 1 << 62
 
 
@@ -85,15 +88,17 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @lru_cache(maxsize=4)
 def _vocabulary(path: str) -> dict[bytes, int]:
+    if os.path.getsize(path) > LARGEST:
+        raise ValueError(f"a vocabulary of more than {LARGEST} bytes isn't broadcast")
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class Encoder:
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
+    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN, ranks: dict[bytes, int] | None = None):
         import regex
 
-        self.ranks = _vocabulary(path)
+        self.ranks = _vocabulary(path) if ranks is None else ranks
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
 
@@ -114,16 +119,19 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+_ENCODERS: dict[tuple[int, str], Encoder] = {}  # of this worker, by broadcast and pattern
 
 
 def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(key, ids) of every row."""
+    known = df.sparkSession.sparkContext.broadcast(_vocabulary(path))
+    number = known._jbroadcast.id()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = _encoder(path, pattern)
+        e = _ENCODERS.get((number, pattern))
+        if e is None:
+            _ENCODERS.clear()  # one vocabulary at a time, with its cache of pieces
+            e = _ENCODERS[number, pattern] = Encoder(pattern=pattern, ranks=known.value)
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "ids": [e.encode(t) for t in b["text"]]})
 

@@ -6,9 +6,13 @@ the evaluation set are dictionary-encoded, a document's other words become 0 and
 windows are hashed with array operations over a whole batch and each hit is verified word by word. An item
 and a document that share n or more consecutive words share an n-gram, so nothing is missed.
 
-The evaluation set is read in blocks of bounded size, each its own broadcast, so its growth makes more scans
-and never a larger broadcast. Defined cases: null and empty texts have no words; items shorter than n words
-cannot leak; repeated documents and items give distinct pairs; texts are scanned whole.
+The evaluation set is read in blocks of bounded size, each its own broadcast (arrays, some 30 bytes a word, and its
+vocabulary), so its growth makes more scans and never a larger broadcast. ``spans`` gives what to remove, as ranges of words
+and of characters of the original text, and the text without them.
+
+Defined cases: null and empty texts have no words; items shorter than n words cannot leak; repeated documents and items give
+distinct pairs; texts are scanned whole; where a word's place can't be told from the normalised form (marks that join across
+letters) there are no character ranges and no cleaned text.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_WORDS = 2_000_000  # evaluation words of one broadcast
+from brindle.llm.cells import LISTED
+from brindle.session import cut_table
+
+BLOCK_WORDS = 400_000  # evaluation words of one broadcast
 _ASCII = re.compile(r"[a-z0-9]+")
 
 
@@ -36,22 +43,46 @@ def words(text: str | None) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+", unicodedata.normalize("NFKC", text).lower())
 
 
+def word_places(text: str) -> list[tuple[int, int]] | None:
+    """Where each of ``words(text)`` stands in the text, [start, end); None if that can't be told."""
+    if text.isascii():
+        return [m.span() for m in _ASCII.finditer(text.lower())]
+    import regex
+
+    held, forms = [], []
+    for m in regex.finditer(r"\X", text):
+        held.append(m.span())
+        forms.append(unicodedata.normalize("NFKC", m.group()))
+    whole = unicodedata.normalize("NFKC", text)
+    low = [f.lower() for f in forms]
+    if "".join(forms) != whole or sum(map(len, low)) != len(whole.lower()):
+        return None
+    of = np.repeat(np.arange(len(low)), [len(x) for x in low])
+    return [(held[of[m.start()]][0], held[of[m.end() - 1]][1]) for m in regex.finditer(r"[\p{L}\p{N}]+", whole.lower())]
+
+
 class Grams:
-    """The n-grams of a block of items."""
+    """The n-grams of a block of items: codes of their words, one after the other, and hash, place and item of each n-gram."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n = n
         self.ids: dict[str, int] = {}
-        self.items: dict[tuple, list[int]] = {}
-        for item, text in items:
-            codes = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for i in range(len(codes) - n + 1):
-                held = self.items.setdefault(tuple(codes[i : i + n]), [])
-                if item not in held:
-                    held.append(item)
         self.powers = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(n)], dtype=np.uint64)
-        rows = np.array(list(self.items), dtype=np.uint64).reshape(-1, n)
-        self.hashes = np.sort((rows * self.powers).sum(axis=1, dtype=np.uint64))
+        codes, places, owners = [], [], []
+        at = 0
+        for item, text in items:
+            c = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
+            codes.append(np.array(c, dtype=np.uint32))
+            places.append(np.arange(at, at + max(0, len(c) - n + 1)))
+            owners += [item] * len(places[-1])
+            at += len(c)
+        self.codes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        place = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
+        h = np.zeros(len(place), dtype=np.uint64)
+        for j in range(n if len(place) else 0):
+            h += self.codes[place + j].astype(np.uint64) * self.powers[j]
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.place, self.item = h[order], place[order], np.array(owners)[order] if owners else np.zeros(0, np.int64)
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text number, words of the text, word position, item) of every shared n-gram."""
@@ -75,26 +106,31 @@ class Grams:
         h = np.zeros(len(full), dtype=np.uint64)
         for j in range(n):
             h += c[full + j] * self.powers[j]
-        at = np.searchsorted(self.hashes, h)
-        hit = full[self.hashes[np.minimum(at, len(self.hashes) - 1)] == h]
-        owner = np.repeat(np.arange(len(texts)), owner)
-        out = []
-        for i in hit.tolist():
-            t = int(owner[i])
-            for item in self.items.get(tuple(codes[i : i + n]), ()):
-                out.append((t, size[t], i - first[t], item))
-        return out
+        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        count = high - low
+        at = np.repeat(full, count)  # each window with each n-gram of its hash
+        gram = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        if not len(at):
+            return []
+        same = np.ones(len(at), dtype=bool)
+        for j in range(n):
+            same &= c[at + j] == self.codes[self.place[gram] + j]
+        at, gram = at[same], gram[same]
+        owner, first = np.repeat(np.arange(len(texts)), owner), np.array(first)
+        t = owner[at]
+        return list(dict.fromkeys(zip(t.tolist(), np.array(size)[t].tolist(), (at - first[t]).tolist(), self.item[gram].tolist())))
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    held, size = [], 0
+    held, size, given = [], 0, False
     for row in items.select(F.col(f"`{key}`"), F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).toLocalIterator():
         held.append((row[0], row[1]))
         size += len(row[1]) // 2 + 1
         if size >= BLOCK_WORDS:
             yield held
-            held, size = [], 0
-    yield held
+            held, size, given = [], 0, True
+    if held or not given:
+        yield held
 
 
 def shared_grams(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, n: int) -> DataFrame:
@@ -125,8 +161,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
 
 
 def spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 12, whole: float = 0.5) -> DataFrame:
-    """Per document: items that it gives away, leaked words, the word ranges [from, to) to remove, and whether the
-    document goes as a whole (at least ``whole`` of its words leaked)."""
+    """Per document: items that it gives away, leaked words, the ranges [from, to) to remove in words and in characters of the original
+    text, whether the document goes as a whole (at least ``whole`` of its words leaked), and else the text without the ranges."""
     found = shared_grams(docs, items, doc_key, doc_text, item_key, item_text, n)
     per = found.groupBy("doc", "n_words").agg(F.count_distinct("item").alias("n_items"), F.sort_array(F.collect_set("word")).alias("at"))
     merged = F.aggregate(
@@ -140,4 +176,25 @@ def spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
     out = per.withColumn("spans", merged)
     leaked = F.aggregate("spans", F.lit(0), lambda a, s: (a + s["to"] - s["from"]).cast("int"))
     out = out.withColumn("leaked_words", leaked)
-    return out.select(F.col("doc").alias(doc_key), "n_items", "n_words", "leaked_words", "spans", (F.col("leaked_words") >= F.col("n_words") * whole).alias("drop_document"))
+    out = cut_table(out.withColumn("drop_document", F.col("leaked_words") >= F.col("n_words") * whole))
+    few = out.count() <= LISTED  # then the texts stay where they are
+    texts = docs.select(F.col(f"`{doc_key}`").alias("doc"), F.col(f"`{doc_text}`").alias("text"))
+    both = texts.join(F.broadcast(out) if few else out, "doc")
+
+    @F.pandas_udf("struct<chars: array<struct<from: int, to: int>>, cleaned: string>")
+    def removed(text: pd.Series, n_words: pd.Series, from_: pd.Series, to: pd.Series, drop: pd.Series) -> pd.DataFrame:
+        chars, cleaned = [], []
+        for x, k, a, b, gone in zip(text, n_words, from_, to, drop):
+            places = word_places(x)
+            if places is None or len(places) != k:
+                chars.append(None), cleaned.append(None)
+                continue
+            cut = [(places[i][0], places[j - 1][1]) for i, j in zip(a, b)]
+            chars.append([{"from": i, "to": j} for i, j in cut])
+            keep = [x[i:j] for i, j in zip([0, *(j for _, j in cut)], [*(i for i, _ in cut), len(x)])]
+            cleaned.append(None if gone else " ".join(keep))
+        return pd.DataFrame({"chars": chars, "cleaned": cleaned})
+
+    at = lambda end: F.transform("spans", lambda s: s[end])
+    both = both.withColumn("r", removed("text", "n_words", at("from"), at("to"), "drop_document"))
+    return both.select(F.col("doc").alias(doc_key), "n_items", "n_words", "leaked_words", "spans", "drop_document", "r.chars", "r.cleaned")

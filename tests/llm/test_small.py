@@ -122,6 +122,29 @@ def test_leaks_against_brute_force(spark):
     s = {x.doc_id: x for x in leakage.spans(dd, di).collect()}
     assert set(s) == {d for _, d in want}
     assert all(x.leaked_words == sum(y["to"] - y["from"] for y in x.spans) and all(a["to"] < b["from"] for a, b in zip(x.spans, x.spans[1:])) for x in s.values())
-    assert s[902].drop_document
+    assert s[902].drop_document and s[902].cleaned is None
+    texts = dict(docs)
+    for x in s.values():
+        for w, c in zip(x.spans, x.chars):
+            assert leakage.words(texts[x.doc_id][c["from"] : c["to"]]) == leakage.words(texts[x.doc_id])[w["from"] : w["to"]]
+        if not x.drop_document:
+            assert len(leakage.words(x.cleaned)) == x.n_words - x.leaked_words
     assert leakage.leaks(dd.limit(0), di).count() == 0
     assert leakage.leaks(dd, di.limit(0)).count() == 0
+
+
+def test_places_of_words():
+    for t in ("Plain, words-2 here", "ﬁlament ｃhｏose e\u0301lément ½x İstanbul Σας", "한국어 \u1112\u1161\u11ab x", "", "🙂 a\u0308b"):
+        w, at = leakage.words(t), leakage.word_places(t)
+        assert at is not None and len(at) == len(w) and all(x in leakage.words(t[a:b]) for x, (a, b) in zip(w, at))  # one character can hold parts of two words
+
+
+def test_evaluation_set_in_blocks(spark, monkeypatch):
+    """Blocks whose last one is exactly full make no empty scan; all blocks give what one gives."""
+    items = [(i, " ".join(f"w{i * 7 + j}" for j in range(14))) for i in range(6)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in items], "doc_id long, text string")
+    ev = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    one = {tuple(x) for x in leakage.leaks(docs, ev).collect()}
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", len(items[0][1]) // 2 + 1)
+    assert len(list(leakage._blocks(ev, "item_id", "text"))) == 6
+    assert {tuple(x) for x in leakage.leaks(docs, ev).collect()} == one and len(one) >= 6
