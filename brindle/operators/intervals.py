@@ -8,10 +8,13 @@ of millions of features from becoming one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 14
+REGION = 1 << 20  # positions that one task sorts
 
 
 def effective_position(strand: Column, start: Column, end: Column) -> Column:
@@ -44,16 +47,31 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], lspan: tuple[st
     return matched.unionByName(lost, allowMissingColumns=True).drop("_id")
 
 
-def interval_union(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+def interval_union(df: DataFrame, by: list[str], start: str, end: str, width: int = REGION) -> DataFrame:
     """Merged intervals per key; overlapping and adjacent ones (start <= last end + 1) are joined. Rows without a start or
-    end, or that end before they start, are left out. Repeated intervals are dropped map-side before the window."""
+    end, or that end before they start, are left out. Repeated intervals are dropped map-side before anything is sorted.
+
+    A task sorts one region of ``width`` positions and not a whole key: how far earlier regions reach into one, and which island is
+    open there, are running maxima over the regions of a key, which are few.
+    """
     rows = df.select(*by, F.col(start).alias("start"), F.col(end).alias("end")).where("start is not null and end is not null and end >= start")
-    rows = rows.groupBy(*by, "start").agg(F.max("end").alias("end"))
-    w = Window.partitionBy(*by).orderBy("start")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0)
-    rows = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return rows.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    rows = rows.groupBy(*by, "start").agg(F.max("end").alias("end")).withColumn("_region", F.floor(F.col("start") / width))
+    keys = [*by, "_region"]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in keys])
+    side = lambda df: df.select(*[F.col(c).alias(f"_r{c}") for c in keys], *[c for c in df.columns if c not in keys])
+    earlier = Window.partitionBy(*by).orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys).agg(F.max("end").alias("_e")).withColumn("_carry", F.max("_e").over(earlier)).drop("_e")
+    inside = Window.partitionBy(*keys).orderBy("start")
+    x = rows.join(side(carry), same).select(*keys, "start", "end", "_carry")
+    reach = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    x = x.withColumn("_first", F.when(reach.isNull() | (F.col("start") > reach + 1), F.col("start")))
+    x = x.withColumn("_island", F.last("_first", True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = x.groupBy(*keys, "_island").agg(F.max("end").alias("end"))
+    # what begins before the first island of its region belongs to the last island of the regions before it
+    opened = parts.groupBy(*keys).agg(F.max("_island").alias("_i")).withColumn("_open", F.max("_i").over(earlier)).drop("_i")
+    rest = parts.where("_island is null").join(side(opened), same).select(*by, F.col("_open").alias("_island"), "end")
+    every = parts.where("_island is not null").select(*by, "_island", "end").unionByName(rest)
+    return every.groupBy(*by, F.col("_island").alias("start")).agg(F.max("end").alias("end"))
 
 
 def covered_length(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:

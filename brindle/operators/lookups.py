@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from brindle.operators.intervals import range_join
 from brindle.operators.topk import top1
 
-SMALL = 100_000  # rows of a lookup side that unmatched rows may be compared with one by one
+SMALL = 10_000  # rows of a lookup side that unmatched rows may be compared with one by one; more are met by their parts
+PART = 6  # letters of a part
 
 
 def name_lookup(df: DataFrame, names: DataFrame, key: str, name: str, order: list[Column], both_ways: bool = True, fold: bool = False) -> DataFrame:
     """df with the columns of ``names`` whose ``name`` equals ``key``; for keys without one, the first name (by ``order``)
     that contains the key or, with ``both_ways``, is contained in it.
 
-    Only distinct unmatched keys enter the comparison, and only if the name side has at most ``SMALL`` rows; otherwise
-    it is refused rather than run as an unbounded product.
+    Only distinct unmatched keys enter the comparison. With more than ``SMALL`` names it is an equi join: what is contained
+    in a text ends with one of the parts of up to PART letters of that text.
     """
     cs = [c for c in names.columns if c != key]
     low = F.lower if fold else (lambda c: c)
     exact = df.join(top1(names, [name], order).withColumn("_n", low(F.col(name))), low(F.col(key)) == F.col("_n"), "left").drop("_n")
     lost = exact.where(F.col(name).isNull() & F.col(key).isNotNull()).select(key).distinct()
-    if names.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"a lookup by parts of names takes at most {SMALL} names")
-    part = F.contains(low(F.col(name)), low(F.col(key)))
-    if both_ways:
-        part = part | F.contains(low(F.col(key)), low(F.col(name)))
-    found = top1(lost.join(F.broadcast(names), part & (F.length(key) > 0) & (F.length(name) > 0)), [key], [*order, F.col(name)])
+    full = (F.length(key) > 0) & (F.length(name) > 0)
+    inside, around = F.contains(low(F.col(name)), low(F.col(key))), F.contains(low(F.col(key)), low(F.col(name)))
+    if names.limit(SMALL + 1).count() <= SMALL:
+        hits = lost.join(F.broadcast(names), (inside | around if both_ways else inside) & full)
+    else:
+        hits = _by_parts(names, lost, low(F.col(name)), low(F.col(key))).where(inside & full)
+        if both_ways:
+            hits = hits.unionByName(_by_parts(lost, names, low(F.col(key)), low(F.col(name))).where(around & full).select(*hits.columns))
+    found = top1(hits, [key], [*order, F.col(name)])
     rest = exact.where(F.col(name).isNull()).select(*df.columns).join(found.select(key, *cs), key, "left")
     return exact.where(F.col(name).isNotNull()).select(*df.columns, *cs).unionByName(rest.select(*df.columns, *cs))
 
 
+def _by_parts(whole: DataFrame, piece: DataFrame, text: Column, part: Column) -> DataFrame:
+    """Pairs of rows whose ``part`` may be contained in ``text``: the last letters of the one are among the parts of the other."""
+    starts = F.sequence(F.lit(1), F.length(text))
+    all_ = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(PART)), lambda k: F.substr(text, i, k)))))
+    w = whole.where(F.length(text) > 0).withColumn("_part", F.explode(all_))
+    p = piece.where(F.length(part) > 0).withColumn("_part", F.right(part, F.least(F.lit(PART), F.length(part))))
+    return p.join(w, "_part").drop("_part")
+
+
 def prefix_lookup(df: DataFrame, rows: DataFrame, key: str, composite: str, sep: str, order: list[Column]) -> DataFrame:
     """df with the first row whose composite id starts with ``key`` followed by ``sep`` or nothing: an equi join on the part before ``sep``."""
     first = top1(rows.withColumn("_p", F.substring_index(composite, sep, 1)), ["_p"], order)

@@ -13,17 +13,23 @@ from brindle.functions.stats import fisher_greater_udf, poisson_sf_udf
 from brindle.operators.topk import topk
 from brindle.session import cut_table, partitions
 
+BLOCK = 2_000  # rows of a feature that meet in one place
 
 
 def weighted_jaccard(long: DataFrame, row: str, feature: str, value: str) -> DataFrame:
     """(i, j, jaccard), i < j, of rows that share a feature: sum(v_i v_j) / (r_i + r_j - that), r the row's sum of squares.
 
-    On a 0/1 matrix this is the Jaccard index of the sets. Repeated (row, feature) values are added first.
+    On a 0/1 matrix this is the Jaccard index of the sets. Repeated (row, feature) values are added first. A feature of more than
+    BLOCK rows is split into blocks of rows, and a pair of blocks is joined on its own, so no feature is one task.
     """
     x = long.groupBy(F.col(row).alias("r"), F.col(feature).alias("f")).agg(F.sum(value).cast("double").alias("v"))
     size = x.groupBy("r").agg(F.sum(F.col("v") * F.col("v")).alias("s"))
-    a, b = x.select(F.col("r").alias("i"), "f", F.col("v").alias("vi")), x.select(F.col("r").alias("j"), "f", F.col("v").alias("vj"))
-    pairs = a.join(b, "f").where("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
+    hot = x.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")).where("_k > 1")
+    x = x.join(hot, "f", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("r", F.lit(17)), F.col("_k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    a = x.select(F.col("r").alias("i"), "f", F.col("v").alias("vi"), F.col("_own").alias("_p"), every.alias("_q"))
+    b = x.select(F.col("r").alias("j"), "f", F.col("v").alias("vj"), every.alias("_p"), F.col("_own").alias("_q"))
+    pairs = a.join(b, ["f", "_p", "_q"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
     out = pairs.join(size.select(F.col("r").alias("i"), F.col("s").alias("si")), "i").join(size.select(F.col("r").alias("j"), F.col("s").alias("sj")), "j")
     return out.select("i", "j", (F.col("dot") / (F.col("si") + F.col("sj") - F.col("dot"))).alias("jaccard"))
 

@@ -83,6 +83,8 @@ def test_interval_union_and_range_join(spark):
                 last = [s, e]
         want.add((c, *last))
     assert got == want and ("d", 1, 9) in got
+    for width in (700, 20_000):
+        assert {(x.contig, x.start, x.end) for x in iv.interval_union(df, ["contig"], "start", "end", width).collect()} == want
     again = iv.interval_union(iv.interval_union(df, ["contig"], "start", "end"), ["contig"], "start", "end")
     assert {(x.contig, x.start, x.end) for x in again.collect()} == want
     right = df.select("contig", F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
@@ -200,6 +202,16 @@ def test_components_and_agreement(spark):
     assert abs(x.ari - 1) < 1e-12 and abs(x.nmi - 1) < 1e-12
 
 
+def test_blocks_of_a_hot_feature_change_nothing(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, "hot", 1.0) for i in range(60)] + [(i, f"f{r.randint(0, 9)}", float(r.randint(1, 3))) for i in range(60) for _ in range(3)]
+    df = spark.createDataFrame(rows, "r int, f string, v double").repartition(3)
+    show = lambda: sorted((x.i, x.j, round(x.jaccard, 9)) for x in mx.weighted_jaccard(df, "r", "f", "v").collect())
+    whole = show()
+    monkeypatch.setattr(mx, "BLOCK", 7)
+    assert len(whole) == 60 * 59 // 2 and show() == whole
+
+
 def test_knn_edges_are_symmetric_and_folds_are_spelled_out(spark):
     long = spark.createDataFrame([(i, f, 1.0) for i in range(8) for f in range(i % 3, i % 3 + 4)], "row long, feature long, value double")
     pairs = mx.weighted_jaccard(long, "row", "feature", "value")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import communities as cm
@@ -10,7 +11,9 @@ from brindle.operators import lookups as lk
 from brindle.operators import matrix as mx
 
 
-def test_name_lookup(spark):
+@pytest.mark.parametrize("small", [lk.SMALL, 0])
+def test_name_lookup(spark, monkeypatch, small):
+    monkeypatch.setattr(lk, "SMALL", small)
     df = spark.createDataFrame([("1", 1), ("ctg", 2), ("long_ctg_9", 3), ("zz", 4), (None, 5), ("", 6)], "contig string, i int")
     names = spark.createDataFrame([("01", "a"), ("1", "b"), ("my_ctg_2", "c"), ("my_ctg_1", "d"), ("ctg_9", "e")], "name string, v string")
     got = {x.i: x.v for x in lk.name_lookup(df, names, "contig", "name", [F.col("name")]).collect()}
