@@ -62,16 +62,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cf.cluster_profiles(feature_sets(spark, d), Fraction(3, 5))
+    """(cluster_key, size, n_distinct, typical): size, distinct feature sets and the three most typical members, joined by blanks."""
+    return cf.cluster_profiles(feature_sets(spark, d), Fraction(3, 5)).withColumn("typical", F.array_join("typical", " "))
 
 
-P4 = """WITH RECURSIVE v AS (SELECT DISTINCT r.ie_id AS i, f.feature_id AS t FROM ie_rep_rows_c6960_unk r JOIN feature_long f ON f.row_id = r.matrix_row
+_P4 = """WITH RECURSIVE v AS (SELECT DISTINCT r.ie_id AS i, f.feature_id AS t FROM ie_rep_rows_c6960_unk r JOIN feature_long f ON f.row_id = r.matrix_row
     WHERE f.feat_value > 0 AND NOT isnan(f.feat_value) AND r.ie_id IS NOT NULL AND f.feature_id IS NOT NULL),
   k AS (SELECT i, count(*) AS n FROM v GROUP BY i HAVING count(*) >= 5),
   o AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM v x JOIN v y ON x.t = y.t AND x.i <> y.i GROUP BY ALL),
   e AS MATERIALIZED (SELECT a, b FROM o JOIN k p ON p.i = a JOIN k q ON q.i = b WHERE 5 * c >= 3 * (p.n + q.n - c)),
-  w(i, j) AS (SELECT a, a FROM e UNION SELECT w.i, e.b FROM w JOIN e ON e.a = w.j)
-SELECT i AS ie_id, min(j) AS cluster_key FROM w GROUP BY i"""
+  w(i, j) AS (SELECT a, a FROM e UNION SELECT w.i, e.b FROM w JOIN e ON e.a = w.j)"""
+P4 = f"{_P4} SELECT i AS ie_id, min(j) AS cluster_key FROM w GROUP BY i"
+P4_CLUSTERS = f"""{_P4}, m AS (SELECT i, min(j) AS cluster_key FROM w GROUP BY i),
+  s AS (SELECT i, list(t ORDER BY t) AS ts FROM v JOIN k USING (i) GROUP BY i),
+  g AS (SELECT cluster_key, min(i) AS name, count(*) AS n, ts FROM m JOIN s USING (i) GROUP BY cluster_key, ts),
+  l AS (SELECT cluster_key, name, n, len(ts) AS size, unnest(ts) AS t FROM g), c AS (SELECT cluster_key, t, sum(n) AS c FROM l GROUP BY ALL),
+  r AS (SELECT cluster_key, name, round(sum(c) / sqrt(size), 6) AS score FROM l JOIN c USING (cluster_key, t) GROUP BY cluster_key, name, size),
+  p AS (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY score DESC, name) AS q FROM r)
+SELECT cluster_key, size, n_distinct, typical FROM (SELECT cluster_key, sum(n)::BIGINT AS size, count(*) AS n_distinct FROM g GROUP BY 1) JOIN (SELECT cluster_key, string_agg(name, ' ' ORDER BY q) AS typical FROM p WHERE q <= 3 GROUP BY 1) USING (cluster_key)"""
 
 # ---- 5: percentiles ------------------------------------------------------------------------------------------
 Q = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -141,4 +149,4 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_percentiles": p5_percentiles, "p5_digests": p5_digests, "p6_found": p6_found, "p6_misses": p6_misses, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_report": p10_report}
-ORACLE = {"p3_found": P3, "p4_found": P4, "p7_found": P7}
+ORACLE = {"p3_found": P3, "p4_found": P4, "p4_clusters": P4_CLUSTERS, "p7_found": P7}
