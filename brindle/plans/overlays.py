@@ -9,7 +9,7 @@ from brindle.operators import communities as cm
 from brindle.operators import lookups as lk
 from brindle.operators import matrix as mx
 from brindle.plans.loci import LOCI, loci
-from brindle.plans.relations import KNN, LONG, _edges, mixing
+from brindle.plans.relations import KNN, MIX, LONG, _edges, mixing
 from brindle.session import table
 
 
@@ -73,7 +73,7 @@ def tails(spark: SparkSession, d: str) -> DataFrame:
     """STA1, FLT19, CLS48: clusters that mix more than expected: fold, tier."""
     m = mixing(spark, d)
     tier = F.when((F.col("q") <= 0.001) & (F.col("fold") >= 2), "strong").when(F.col("q") <= 0.05, "significant").when(F.col("fold") >= 2, "weak").otherwise("none")
-    return m.select("a", "b", "n_edges", "fold", "q", ((F.col("n_edges") >= 1) & (F.col("n_edges") > F.col("expected")) & ((F.col("z") >= 2) | (F.col("q") <= 0.05))).alias("related"), tier.alias("tier"))
+    return m.select("a", "b", "n_edges", F.round("fold", 9).alias("fold"), F.round("q", 9).alias("q"), ((F.col("n_edges") >= 1) & (F.col("n_edges") > F.col("expected")) & ((F.col("z") >= 2) | (F.col("q") <= 0.05))).alias("related"), tier.alias("tier"))
 
 
 def components_of_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +98,7 @@ ORACLE = {
   SELECT cluster, feature_id, count(DISTINCT r) AS n_with, size, round(count(DISTINCT r) / size, 6) AS share, round(sum(floor(feat_value * 10000 + 0.5)::BIGINT)::BIGINT / count(*) / 10000, 6) AS mean FROM e JOIN f ON row_id = r JOIN s USING (cluster) GROUP BY cluster, feature_id, size HAVING count(DISTINCT r) >= 3""",
     "src40_joined_sets": "SELECT sample_id, coalesce(string_agg(DISTINCT coarse_label, '|' ORDER BY coarse_label), '') AS labels, count(DISTINCT coarse_label) AS n_labels, max(CASE WHEN NOT isnan(ie_core_score) THEN ie_core_score END) AS best, bool_or(coalesce(confidence = 'high', false)) AS any_high FROM ie_instance_classification WHERE sample_id IS NOT NULL GROUP BY 1",
     "agg41_copies": "SELECT min(doc_id) AS representative, count(*) AS size FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
+    "sta3_tiers": f"""WITH {LONG}, {KNN}, {MIX} SELECT a, b, n_edges, round(fold, 9) AS fold, round(q, 9) AS q, n_edges >= 1 AND n_edges > e AND (z >= 2 OR q <= 0.05) AS related, CASE WHEN q <= 0.001 AND fold >= 2 THEN 'strong' WHEN q <= 0.05 THEN 'significant' WHEN fold >= 2 THEN 'weak' ELSE 'none' END AS tier FROM w""",
     "agg39_internal_external": f"""WITH {LONG}, {KNN}, e AS (SELECT a.c_nationkey AS a, b.c_nationkey AS b FROM edges JOIN customer a ON a.c_custkey = src JOIN customer b ON b.c_custkey = dst), x AS (SELECT a AS label, a, b FROM e UNION ALL SELECT b, a, b FROM e WHERE a <> b)
   SELECT label, sum((a = b)::INT)::BIGINT AS n_internal, sum((a <> b)::INT)::BIGINT AS n_external FROM x GROUP BY 1""",
 }

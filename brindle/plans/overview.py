@@ -44,7 +44,7 @@ def _markers(spark: SparkSession, d: str) -> DataFrame:
 def overlay(spark: SparkSession, d: str) -> DataFrame:
     """JN26, 28, CLS45-47, AUX30, 35, 37-40, WIN15: every cluster with its markers, roles, host and last summary, one row each."""
     m, marks = members(spark, d), _markers(spark, d)
-    top = ov.top_text(marks, "cluster", "feature_id", F.col("score"), 3, out="markers", show=F.concat(F.coalesce("short_name", F.lit("?")), F.lit("="), F.format_string("%.2f", F.bround("score", 2))))
+    top = ov.top_text(marks, "cluster", "feature_id", F.col("score"), 3, out="markers", show=F.concat(F.coalesce("short_name", F.lit("?")), F.lit("="), F.format_string("%.3f", F.bround("score", 3))))
     ranked = marks.withColumn("minus", -F.col("score"))
     roles = ov.seen_first(ranked, "cluster", "role", ["minus", "feature_id"], 3, "roles")
     by_role = marks.where("role <> 'other'").groupBy("cluster", "role").agg(F.sum("count_in").alias("w"))
@@ -91,7 +91,7 @@ SELECT cluster, count(*) AS n, round(median(CASE WHEN NOT isnan(core) THEN core
     "jn28_cluster_overlay": f"""WITH {_M}, {_A}, k0 AS (SELECT leiden_cluster AS cluster, feature_id, max(marker_score) AS score, min(short_name) AS short_name, min(pfam_acc) AS pfam_acc, max(count_in) AS count_in FROM cluster_pfam_markers_c6960_unk
     WHERE leiden_cluster >= 0 AND feature_id IS NOT NULL AND marker_score IS NOT NULL AND NOT isnan(marker_score) GROUP BY 1, 2),
   k AS (SELECT *, CASE WHEN pfam_acc = 'PF80857' THEN 'curated' ELSE {_ROLE("coalesce(short_name, '')", ROLES)} END AS role, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, feature_id) AS r FROM k0),
-  t AS (SELECT cluster, string_agg(coalesce(short_name, '?') || '=' || printf('%.2f', round_even(score, 2)), '; ' ORDER BY r) AS markers FROM k WHERE r <= 3 GROUP BY 1),
+  t AS (SELECT cluster, string_agg(coalesce(short_name, '?') || '=' || printf('%.3f', round_even(score, 3)), '; ' ORDER BY r) AS markers FROM k WHERE r <= 3 GROUP BY 1),
   s AS (SELECT cluster, role, min(r) AS r FROM k GROUP BY 1, 2), s2 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY r) AS q FROM s), s3 AS (SELECT cluster, string_agg(role, '|' ORDER BY r) AS roles FROM s2 WHERE q <= 3 GROUP BY 1),
   w AS (SELECT cluster, role, sum(count_in) AS w FROM k WHERE role <> 'other' GROUP BY 1, 2), w2 AS (SELECT cluster, role AS top_role FROM w WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY w DESC, role) = 1),
   h AS (SELECT cluster, phylum, count(*) AS n FROM m JOIN a USING (integrase_id) WHERE phylum IS NOT NULL AND trim(phylum) NOT IN ('', 'nan') GROUP BY 1, 2), h2 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, phylum) AS r FROM h),

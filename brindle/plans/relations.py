@@ -57,6 +57,11 @@ def mixing(spark: SparkSession, d: str) -> DataFrame:
     return false_discovery(mx.mixing(mx.cluster_edges(_edges(spark, d), _labels(spark, d), "node", "label"), sizes), "p")
 
 
+def mixing_report(spark: SparkSession, d: str) -> DataFrame:
+    """STA1-3, GRF14: observed and expected edges of each pair of clusters, with fold, z, tail probability and false-discovery value."""
+    return mixing(spark, d).select("a", "b", "n_edges", *[F.round(c, 9).alias(c) for c in ("expected", "fold", "log2_fold", "z", "p", "q")])
+
+
 def permutation(spark: SparkSession, d: str) -> DataFrame:
     return mx.permutation_test(_edges(spark, d), _labels(spark, d), "node", "label", 200)
 
@@ -77,7 +82,8 @@ def class_enrichment(spark: SparkSession, d: str) -> DataFrame:
     x = _class(spark, d)
     t = x.groupBy("cls").agg(F.sum(inside.cast("long")).alias("n_in"), F.sum((~inside).cast("long")).alias("n_out"))
     every = x.agg(F.sum(F.when(inside, F.col("l_quantity")).otherwise(0.0)).alias("len_in"), F.sum(F.when(~inside, F.col("l_quantity")).otherwise(0.0)).alias("len_out"), F.sum(inside.cast("long")).alias("all_in"), F.sum((~inside).cast("long")).alias("all_out"))
-    return false_discovery(mx.class_enrichment(t.crossJoin(F.broadcast(every))), "p")
+    out = false_discovery(mx.class_enrichment(t.crossJoin(F.broadcast(every))), "p")
+    return out.select("cls", "n_in", "n_out", "all_in", "all_out", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("len_in", "len_out", "density_in", "density_out", "fold", "fold_pseudo")], *[F.round(c, 9).alias(c) for c in ("p", "q")])
 
 
 def folds(spark: SparkSession, d: str) -> DataFrame:
@@ -206,18 +212,33 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "grf7_jaccard": jaccard, "grf8_knn_edges": knn, "grf9_components": components, "agg38_cluster_edges": cluster_edges, "sta1_mixing": mixing, "grf15_permutation": permutation, "grf13_agreement": agreement,
+    "grf7_jaccard": jaccard, "grf8_knn_edges": knn, "grf9_components": components, "agg38_cluster_edges": cluster_edges, "sta1_mixing": mixing_report, "grf15_permutation": permutation, "grf13_agreement": agreement,
     "sta5_class_enrichment": class_enrichment, "agg31_folds": folds, "sta6_markers": marker_enrichment, "agg17_biology": biology, "agg18_diversity": diversity, "agg29_crosstab": crosstab, "agg40_taxonomy": taxonomy,
     "agg2_statistics": statistics, "agg4_totals": totals, "win3_anchored": anchored, "jn23_star": star, "set4_changes": changes, "jn33_anti": anti, "set2_first_part": first_part, "jn11_representatives": representatives, "aux60_phylum_bins": phylum_bins, "scl_ids": scalars, "scl1_sequences": sequences,
 }
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\|sample=.*$', '', 's'), '^\s+|\s+$', '', 'g')"
 _OK = "NOT IN ('', 'nan', 'None', '<NA>')"
+FDR = "least(1.0, min(v) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+RANKED = "p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_TERM = "exp(i * ln(e) - e - lgamma(i + 1))"
+MIX = f"""c AS (SELECT least(a.c_nationkey, b.c_nationkey) AS a, greatest(a.c_nationkey, b.c_nationkey) AS b, count(*) AS n_edges FROM edges JOIN customer a ON a.c_custkey = src JOIN customer b ON b.c_custkey = dst GROUP BY 1, 2),
+  z AS (SELECT c_nationkey AS l, count(*)::DOUBLE AS n FROM customer GROUP BY 1), k AS (SELECT sum(n) AS n, sum(n * n) AS s FROM z), t AS (SELECT sum(n_edges)::DOUBLE AS m FROM c WHERE a < b),
+  x AS (SELECT a, b, n_edges, t.m * p.n * q.n / ((k.n * k.n - k.s) / 2) AS e FROM c JOIN z p ON p.l = a JOIN z q ON q.l = b, k, t WHERE a < b),
+  y AS (SELECT *, CASE WHEN n_edges > e THEN list_sum(list_transform(range(n_edges, n_edges + 400), lambda i: {_TERM})) ELSE 1 - list_sum(list_transform(range(0, n_edges), lambda i: {_TERM})) END AS p FROM x),
+  v AS (SELECT *, {RANKED} AS v FROM y), w AS (SELECT a, b, n_edges, e, n_edges / e AS fold, log2((n_edges + 0.5) / (e + 0.5)) AS log2_fold, (n_edges - e) / sqrt(e) AS z, p, {FDR} AS q FROM v)"""
 _CLS = "x AS (SELECT l_suppkey, p_type AS cls, l_returnflag = 'R' AS i, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey)"
 ORACLE = {
     "grf7_jaccard": f"WITH {LONG} SELECT * FROM pairs WHERE jaccard >= 0.05",
     "grf8_knn_edges": f"WITH {LONG}, {KNN} SELECT * FROM edges",
     "grf9_components": f"WITH RECURSIVE {LONG}, e AS MATERIALIZED (SELECT i AS a, j AS b FROM pairs WHERE jaccard >= 0.06 UNION ALL SELECT j, i FROM pairs WHERE jaccard >= 0.06), w(n, m) AS (SELECT a, a FROM e UNION SELECT w.n, e.b FROM w JOIN e ON e.a = w.m) SELECT n AS node, min(m) AS component FROM w GROUP BY n",
     "agg38_cluster_edges": f"WITH {LONG}, {KNN} SELECT least(a.c_nationkey, b.c_nationkey) AS a, greatest(a.c_nationkey, b.c_nationkey) AS b, count(*) AS n_edges, round(sum(weight), 9) AS weight FROM edges JOIN customer a ON a.c_custkey = src JOIN customer b ON b.c_custkey = dst GROUP BY 1, 2",
+    "sta1_mixing": f"WITH {LONG}, {KNN}, {MIX} SELECT a, b, n_edges, round(e, 9) AS expected, round(fold, 9) AS fold, round(log2_fold, 9) AS log2_fold, round(z, 9) AS z, round(p, 9) AS p, round(q, 9) AS q FROM w",
+    "sta5_class_enrichment": f"""WITH {_CLS}, t AS (SELECT cls, sum(i::INT)::BIGINT AS n_in, sum((NOT i)::INT)::BIGINT AS n_out FROM x GROUP BY 1), a AS (SELECT sum(CASE WHEN i THEN q ELSE 0 END)::DOUBLE AS len_in, sum(CASE WHEN NOT i THEN q ELSE 0 END)::DOUBLE AS len_out, sum(i::INT)::BIGINT AS all_in, sum((NOT i)::INT)::BIGINT AS all_out FROM x),
+  f AS (SELECT *, all_in AS row_, n_in + n_out AS col_, all_in + all_out AS n FROM t, a),
+  y AS (SELECT *, list_sum(list_transform(range(n_in, least(row_, col_) + 1), lambda x: exp(lgamma(row_ + 1) - lgamma(x + 1) - lgamma(row_ - x + 1) + lgamma(n - row_ + 1) - lgamma(col_ - x + 1) - lgamma(n - row_ - col_ + x + 1) - lgamma(n + 1) + lgamma(col_ + 1) + lgamma(n - col_ + 1)))) AS p FROM f),
+  v AS (SELECT *, {RANKED} AS v FROM y)
+SELECT cls, n_in, n_out, all_in, all_out, round(len_in, 6) AS len_in, round(len_out, 6) AS len_out, round(n_in / (len_in / 1e6), 6) AS density_in, round(n_out / (len_out / 1e6), 6) AS density_out, round(n_in / len_in / (n_out / len_out), 6) AS fold,
+  round((n_in + 0.5) / len_in / ((n_out + 0.5) / len_out), 6) AS fold_pseudo, round(p, 9) AS p, round({FDR}, 9) AS q FROM v""",
     "grf13_agreement": """WITH t AS (SELECT o_orderpriority AS a, c_mktsegment AS b, count(*)::DOUBLE AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
   ra AS (SELECT a, sum(n) AS na FROM t GROUP BY a), rb AS (SELECT b, sum(n) AS nb FROM t GROUP BY b), k AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS ij FROM t), sa AS (SELECT sum(na * (na - 1) / 2) AS s, -sum(na / n * ln(na / n)) AS h FROM ra, k), sb AS (SELECT sum(nb * (nb - 1) / 2) AS s, -sum(nb / n * ln(nb / n)) AS h FROM rb, k),
   mi AS (SELECT sum(t.n / k.n * ln(t.n * k.n / na / nb)) AS m FROM t JOIN ra USING (a) JOIN rb USING (b), k)
