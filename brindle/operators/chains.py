@@ -57,6 +57,11 @@ def id_parts(header: Column, sep: str = ":") -> Column:
     return F.nullif(F.trim(F.substring_index(header, sep, 1)), F.lit(""))
 
 
+def locus_of(text: Column) -> Column:
+    """The ``locus=`` part of a composite description, null where there is none."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"locus=([^|]+)", 1), F.lit(""))
+
+
 def preferred(rows: DataFrame, key: list[str], flag: str, order: list[Column]) -> DataFrame:
     """One row a key: a flagged one before any other, then by order."""
     return top1(rows, key, [F.desc_nulls_last(flag), *order])

@@ -30,6 +30,7 @@ def test_appended_described_and_stubs(spark):
     g = spark.createDataFrame([("a", None, 9), ("a", True, 1), ("b", False, 3), ("b", False, 2)], "k string, ok boolean, v int")
     assert {x.k: x.v for x in ch.preferred(g, ["k"], "ok", [F.col("v")]).collect()} == {"a": 1, "b": 2}
     assert [x[0] for x in spark.createDataFrame([("a:b:1",), (":x",), (None,)], "h string").select(ch.id_parts(F.col("h"))).collect()] == ["a", None, None]
+    assert [x[0] for x in spark.createDataFrame([("x|locus=L 1|y",), ("x",), (None,)], "h string").select(ch.locus_of(F.col("h"))).collect()] == ["L 1", None, None]
 
 
 def test_patterns_and_tests(spark):
