@@ -19,6 +19,7 @@ from brindle.operators import labels as lb
 from brindle.operators.cascade import all_matches
 from brindle.operators.intervals import near_in_order
 from brindle.operators.rules import runner_up
+from brindle.session import cut_table
 
 # Score -> categories and keys whose markers it sums. Public scores first, helpers begin with an underscore.
 SCORES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
@@ -48,6 +49,13 @@ SCORES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "_gta": ((), ("gta_marker",)),
 }
 POLYMERASES = ("primpol_aep", "dna_pol_a", "dna_pol_b")
+PHAGE = ("phage_packaging", "phage_head", "phage_tail", "phage_connector", "phage_lysis", "phage_reg")  # categories that are counted
+# Flag -> keys that raise it.
+FLAGS = {
+    "terl": ("terl",), "hk97": ("hk97_mcp",), "portal_or_mcp": ("portal", "mcp", "hk97_mcp"), "tail_or_connector": ("tail", "connector"), "relaxase": ("relaxase",), "t4cp": ("t4cp",), "virb4": ("virb4",),
+    "integrase": ("integrase",), "zot": ("inov_zot",), "cpt": ("cpt",), "com": ("com",), "dss_anchor": ("dss_anchor",), "tn3": ("tn3",), "tn": ("tn",), "inti": ("inti",), "attc": ("attc",),
+    "group2_rt": ("group2_rt",), "casposon": ("casposon",), "primpol": ("primpol_aep",), "pola": ("dna_pol_a",), "polb": ("dna_pol_b",),
+}
 INOVIRUS = ("inov_zot", "inov_rcr", "inov_rep", "inov_ssb", "inov_coat", "inov_assembly")
 # The scores that are ranked as runners-up, in their order, and the label each would suggest.
 RANKED = ("phage", "inovirus", "conj", "aice_dss", "rep", "helicase_only", "plasmid", "host", "pici", "mobilome", "island", "competence", "gta", "satellite", "is")
@@ -112,33 +120,26 @@ def element_scores(hits: DataFrame, genes: DataFrame, scheme: Scheme = Scheme())
         F.avg(F.coalesce(F.col("annotated"), F.lit(False)).cast("double")).alias("annotation_coverage"),
         (F.max("end") - F.min("start") + 1).alias("_extent"),
     )
+    hits = cut_table(hits.select("element", "idx", "key", "category", "weight"))  # matching is the dear part, and both steps below need its hits
     one = hits.groupBy("element", "key", "category").agg(F.coalesce(F.min_by("weight", "idx"), F.lit(0.5)).alias("w"), F.count(F.lit(1)).alias("n"))
     key, cat = F.col("key"), F.col("category")
     total = lambda cond: F.sum(F.when(cond, F.col("w")).otherwise(F.lit(0.0)))
-    has = lambda *ks: F.bool_or(key.isin(*ks))
-    count = lambda *ks: F.count_distinct(F.when(key.isin(*ks), key))
     sums = []
     for name, (cats, keys) in SCORES.items():
         sums.append(total(cat.isin(*cats) if cats else key.isin(*keys)).alias(f"_sum_{name}"))
-    flags = {
-        "terl": has("terl"), "hk97": has("hk97_mcp"), "portal_or_mcp": has("portal", "mcp", "hk97_mcp"), "tail_or_connector": has("tail", "connector"),
-        "relaxase": has("relaxase"), "t4cp": has("t4cp"), "virb4": has("virb4"), "integrase": has("integrase"), "zot": has("inov_zot"), "cpt": has("cpt"),
-        "com": has("com"), "dss_anchor": has("dss_anchor"), "tn3": has("tn3"), "tn": has("tn"), "inti": has("inti"), "attc": has("attc"),
-        "group2_rt": has("group2_rt"), "casposon": has("casposon"), "primpol": has("primpol_aep"), "pola": has("dna_pol_a"), "polb": has("dna_pol_b"),
-    }
-    counts = {
-        "inovirus_markers": count(*INOVIRUS),
-        "phage_categories": F.count_distinct(F.when(cat.startswith("phage"), cat)),
-        "phage_reg_hits": F.sum(F.when(key == "phage_reg", F.col("n")).otherwise(0)),
-        "is_hits": F.sum(F.when(key == "is_element", F.col("n")).otherwise(0)),
-        "_pol": count(*POLYMERASES),
-    }
-    per = one.groupBy("element").agg(*sums, *[c.alias(n) for n, c in flags.items()], *[c.alias(n) for n, c in counts.items()])
-    marks = hits.groupBy("element", "idx").agg(F.bool_or(key.isin(*POLYMERASES)).alias("_p"), F.bool_or(key == "helicase").alias("_h"))
+    # which keys and categories an element has are the bits of one number each, not an aggregate for every flag
+    known = list(dict.fromkeys([*(k for ks in FLAGS.values() for k in ks), *INOVIRUS, *POLYMERASES]))
+    bits = lambda c, names: F.coalesce(F.bit_or(F.coalesce(*[F.when(c == n, F.lit(1 << i)) for i, n in enumerate(names)])), F.lit(0)).cast("long")
+    mask = lambda names, of: sum(1 << of.index(n) for n in names)
+    seen = lambda n: F.sum(F.when(key == n, F.col("n")).otherwise(0))
+    per = one.groupBy("element").agg(*sums, bits(key, known).alias("_keys"), bits(cat, PHAGE).alias("_cats"), seen("phage_reg").alias("phage_reg_hits"), seen("is_element").alias("is_hits"))
+    marks = hits.where(key.isin("helicase", *POLYMERASES)).groupBy("element", "idx").agg(F.bool_or(key.isin(*POLYMERASES)).alias("_p"), F.bool_or(key == "helicase").alias("_h"))
     near = near_in_order(marks, "element", "idx", F.col("_p"), F.col("_h"), scheme.window).withColumnRenamed("near", "synteny")
     out = size.join(per, "element", "left").join(near, "element", "left")
-    zero = {f"_sum_{n}": 0.0 for n in SCORES} | {n: False for n in flags} | {n: 0 for n in counts} | {"synteny": False, "annotation_coverage": 0.0}
-    out = out.fillna(zero)
+    out = out.fillna({f"_sum_{n}": 0.0 for n in SCORES} | {"_keys": 0, "_cats": 0, "phage_reg_hits": 0, "is_hits": 0, "synteny": False, "annotation_coverage": 0.0})
+    has = lambda names: F.col("_keys").bitwiseAND(F.lit(mask(names, known))) != 0
+    flags = {n: has(ks) for n, ks in FLAGS.items()}
+    counts = {"inovirus_markers": F.bit_count(F.col("_keys").bitwiseAND(F.lit(mask(INOVIRUS, known)))).cast("long"), "phage_categories": F.bit_count("_cats").cast("long")}
     if scheme.damped:
         divisor = F.sqrt(1.0 + F.greatest(F.lit(0), F.col("n_cds") - 1) * scheme.slope) * scheme.divisor
         score = lambda n: F.least(F.lit(1.0), F.col(f"_sum_{n}") / divisor)
@@ -148,14 +149,14 @@ def element_scores(hits: DataFrame, genes: DataFrame, scheme: Scheme = Scheme())
     s["iec"] = F.least(F.lit(1.0), s["_integrase"] * scheme.core_boost)
     s["mobilization"] = F.least(F.lit(1.0), s["conj"] * 0.9)
     s["aice_dss"] = F.least(F.lit(1.0), s["_aice"] * scheme.mix[0] + s["_dss"] * scheme.mix[1] + s["_repabc"] * scheme.mix[2])
-    s["helicase_only"] = F.when(F.col("_pol") > 0, 0.0).otherwise(s["_helicase"])
+    s["helicase_only"] = F.when(has(POLYMERASES), 0.0).otherwise(s["_helicase"])
     s["pici"] = F.greatest(s["_pici"], s["_reg"])
     s["ta"] = F.greatest(s["_ta"], s["_ta_key"])
     s["gta"] = F.greatest(s["satellite"], s["_gta"])
     s["structural"] = s["_structural"]
     s["island"] = F.least(F.lit(1.0), s["pai"] + s["rm"] * 0.85 + s["ta"] * 0.75)
     shown = {n: c for n, c in s.items() if not n.startswith("_")}
-    return out.select("element", "n_cds", "annotation_coverage", "_extent", *[c.alias(n) for n, c in shown.items()], *flags, *[n for n in counts if n != "_pol"], "synteny", (F.col("terl") & ~F.col("hk97")).alias("packaging_only"), s["_integrase"].alias("integrase_score"))
+    return out.select("element", "n_cds", "annotation_coverage", "_extent", *[c.alias(n) for n, c in shown.items()], *[c.alias(n) for n, c in (flags | counts).items()], "phage_reg_hits", "is_hits", "synteny", (flags["terl"] & ~flags["hk97"]).alias("packaging_only"), s["_integrase"].alias("integrase_score"))
 
 
 def element_length(told: Column, extent: Column) -> Column:
