@@ -38,7 +38,7 @@ def integrases(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq_id, description, seq). The header's first token is the id; line breaks in the sequence go. gz is read as it is."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.length(F.trim("value")) > 0)
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")
     body = F.regexp_replace(F.substr("value", F.length(F.substring_index("value", "\n", 1)) + 1), r"\s", "")
     return raw.select("file", F.regexp_extract(head, r"^(\S*)", 1).alias("seq_id"), head.alias("description"), body.alias("seq"))
@@ -69,8 +69,10 @@ def orf_headers(records: DataFrame) -> DataFrame:
 
 
 def hmm_table(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, target, accession, query, evalue, bits) of a whitespace table of hits; comment lines are skipped."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """(file, line, target, accession, query, evalue, bits) of a whitespace table of hits; comment lines are skipped. ``line`` orders
+    the lines of a file: the start of its block and a number that rises within the block, so a file of any size is read in parts."""
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "value")
     p = F.split(F.trim("value"), r"\s+")
     return raw.where(~F.col("value").startswith("#") & (F.length(F.trim("value")) > 0)).where(F.size(p) >= 6).select("file", "line", p[0].alias("target"), p[1].alias("accession"), p[2].alias("query"), p[4].cast("double").alias("evalue"), p[5].cast("double").alias("bits"))
 

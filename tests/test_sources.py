@@ -33,6 +33,7 @@ def put(tmp_path, name, text):
 def test_fasta(spark, tmp_path):
     p = put(tmp_path, "x.fna", ">a desc\nAC\nGT\n>b\nNNNN\n>c x > y\nATGC\n")
     rows = {x.seq_id: x for x in fm.fasta_quality(fm.fasta(spark, p)).collect()}
+    assert set(rows) == {"a", "b", "c"} and rows["c"].length == 4 and fm.fasta(spark, p).where("seq_id = 'c'").first().description == "c x > y"
     assert rows["a"].length == 4 and not rows["a"].has_n and rows["b"].has_n
 
 
@@ -51,6 +52,13 @@ def test_gff_headers_and_hits(spark, tmp_path):
     f = put(tmp_path, "p.faa", ">a_b_3 # 5 # 99 # -1 # ID=1\nMK\n")
     assert [tuple(y) for y in fm.orf_headers(fm.fasta(spark, f)).collect()] == [("a_b_3", 5, 99, "-1", "a_b")]
     h = put(tmp_path, "h.tbl", "# head\nInt PF1.1 q1 - 1e-5 30.0 x\nInt2 PF2.1 q1 - 1e-9 50.0 x\n")
+    many = put(tmp_path, "m.tbl", "".join(f"I PF{i} q{i % 3} - 1e-5 30 x\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        assert {y.query: y.accession for y in fm.last_model(fm.hmm_table(spark, many)).collect()} == {"q0": "PF3999", "q1": "PF3997", "q2": "PF3998"}
+        assert fm.fasta(spark, put(tmp_path, "big.fna", "".join(f">s{i} > d\n" + "ACGT" * 20 + "\n" for i in range(800)))).where("length(seq) = 80 and seq_id like 's%'").count() == 800
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(y.query, y.accession) for y in fm.last_model(fm.hmm_table(spark, h)).collect()] == [("q1", "PF2.1")]
 
 
