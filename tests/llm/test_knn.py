@@ -128,3 +128,13 @@ def test_names(spark):
     names = spark.createDataFrame([(1, "b"), (1, "a"), (3, "c"), (3, "c"), (4, "d")], "key int, name string")
     got = {(a, b) for a, b, _ in knn.neighbours_of(knn.vectors(df, "ie", "feature", "value", 2), 2, 0.5, names).collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")}
+
+
+def test_a_third_of_all_rows_are_copies_and_no_list_is_broadcast(spark, monkeypatch):
+    rows = data(300, 11)
+    rows += [(f"h{i:04d}", f"f{j}", 2.0 + j, "x") for i in range(150) for j in range(6)]
+    want = brute(rows, 3, 0.8, 4)
+    monkeypatch.setattr(knn, "LISTED", 0)
+    df = spark.createDataFrame(rows, "ie string, feature string, value double, cls string").repartition(5)
+    got = {(a, b, s) for a, b, s in knn.neighbours(df, "ie", "feature", "value", 3, 0.8, 4).collect()}
+    assert len(got & want) >= 0.97 * len(want) and {x for x in got if x[0][0] == "h"} == {x for x in want if x[0][0] == "h"}
