@@ -42,7 +42,7 @@ def composition(spark: SparkSession, d: str) -> DataFrame:
     e = u.join(c, "integrase_id")
     size = e.groupBy("cluster").agg(F.count_distinct("row_id").alias("size"))
     g = e.select("cluster", "row_id").distinct().join(f, "row_id").groupBy("cluster", "feature_id").agg(F.count_distinct("row_id").alias("n_with"), F.sum(F.floor(F.col("feat_value") * 10_000 + 0.5)).alias("units"), F.count(F.lit(1)).alias("k"))
-    return g.join(size, "cluster").where("n_with >= 3").select("cluster", "feature_id", "n_with", "size", F.round(F.col("n_with") / F.col("size"), 6).alias("share"), F.round(F.col("units") / F.col("k") / 10_000, 6).alias("mean"))
+    return g.join(size, "cluster").where("n_with >= 3").select("cluster", "feature_id", "n_with", "size", F.round(F.col("n_with") / F.col("size"), 6).alias("share"), F.round(F.col("units") / F.col("k") / 10_000, 9).alias("mean"))
 
 
 def joined_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ ORACLE = {
   SELECT left(acc, 4) AS prefix, count(*) AS n, count(DISTINCT acc) AS n_acc, count(DISTINCT genome_id) AS n_genomes FROM a GROUP BY 1""",
     "agg20_composition": """WITH u AS (SELECT DISTINCT integrase_id, matrix_row AS r FROM ie_rep_rows_c6960_unk WHERE matrix_row IS NOT NULL AND integrase_id IS NOT NULL), c AS (SELECT integrase_id, min(leiden_cluster) AS cluster FROM leiden_clusters_c6960_unk WHERE leiden_cluster >= 0 GROUP BY 1),
   f AS (SELECT DISTINCT row_id, feature_id, feat_value FROM feature_long WHERE feat_value > 0 AND NOT isnan(feat_value)), e AS (SELECT DISTINCT cluster, r FROM u JOIN c USING (integrase_id)), s AS (SELECT cluster, count(*) AS size FROM e GROUP BY 1)
-  SELECT cluster, feature_id, count(DISTINCT r) AS n_with, size, round(count(DISTINCT r) / size, 6) AS share, round(sum(floor(feat_value * 10000 + 0.5)::BIGINT)::BIGINT / count(*) / 10000, 6) AS mean FROM e JOIN f ON row_id = r JOIN s USING (cluster) GROUP BY cluster, feature_id, size HAVING count(DISTINCT r) >= 3""",
+  SELECT cluster, feature_id, count(DISTINCT r) AS n_with, size, round(count(DISTINCT r) / size, 6) AS share, round(sum(floor(feat_value * 10000 + 0.5)::BIGINT)::BIGINT / count(*) / 10000, 9) AS mean FROM e JOIN f ON row_id = r JOIN s USING (cluster) GROUP BY cluster, feature_id, size HAVING count(DISTINCT r) >= 3""",
     "src40_joined_sets": "SELECT sample_id, coalesce(string_agg(DISTINCT coarse_label, '|' ORDER BY coarse_label), '') AS labels, count(DISTINCT coarse_label) AS n_labels, max(CASE WHEN NOT isnan(ie_core_score) THEN ie_core_score END) AS best, bool_or(coalesce(confidence = 'high', false)) AS any_high FROM ie_instance_classification WHERE sample_id IS NOT NULL GROUP BY 1",
     "agg41_copies": "SELECT min(doc_id) AS representative, count(*) AS size FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "sta3_tiers": f"""WITH {LONG}, {KNN}, {MIX} SELECT a, b, n_edges, round(fold, 9) AS fold, round(q, 9) AS q, n_edges >= 1 AND n_edges > e AND (z >= 2 OR q <= 0.05) AS related, CASE WHEN q <= 0.001 AND fold >= 2 THEN 'strong' WHEN q <= 0.05 THEN 'significant' WHEN fold >= 2 THEN 'weak' ELSE 'none' END AS tier FROM w""",
