@@ -7,7 +7,7 @@ over the neighbours is the prior probability that a text of this length was cut.
 
 Endings: a logistic model tells whether a text stops inside a word or sentence. It labels its own examples: text
 ends, line ends and sentence ends (without their stop, since many texts are written without one) are whole,
-random cuts of the same texts are not. It is fitted on a bounded sample (SAMPLE texts) and applied to all.
+random cuts of the same texts are not. Its words are counted in all texts and it is fitted on all of them.
 
 A text is cut if prior and ending together say so: an incomplete ending at a significant length, or a clearly
 incomplete one anywhere (transfers break off at any length). A mark that stands after the cut ("...", "(more)") is
@@ -22,8 +22,10 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,24 +33,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stats import false_discovery, poisson_sf_udf
-from brindle.session import cut_table, partitions
+from brindle.session import cut_table, drop_table
 
-SAMPLE = 16_000  # texts the model is fitted on
+PART = 16_000  # texts that are fitted together
 BITS = 18
+CELLS = 1 << 21  # of each table of counts
 WIDTH = 14  # characters a limit may fall back to the end of a word, and a mark may add
 NEAR = 60  # neighbouring lengths on either side
 FDR = 0.01
 LEAST = 5  # texts at a length
 ELSEWHERE = 0.008  # prior share of texts that a transfer cut at any length
 DOUBTFUL = -2.5  # log odds from which an end of the sample may itself be a cut
-VOCABULARY = 200_000  # words and line endings remembered
+REMEMBERED = 200_000  # keys a task holds before it passes their counts on, hashes it needn't take again
+SEEN, LAST, PAIRS, LINES, LONGER = range(5)
 
 MARK = 400  # characters at the end in which a mark is looked for
 
 # Marks that stand in place of what was lost.
 MARKS = re.compile(r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.|more|cut|truncated|continued)\s*\]|\(\s*(?:…|\.\.\.|more|cont\.?|continued|truncated|cut)\s*\)|<\s*(?:more|cut|truncated)\s*>)\s*$", re.I)
-_WORD = re.compile(r"\w+(?:[-'’.]\w+)*", re.U)
+_WORD = re.compile(r"\w++(?:[-'’.]\w++)*+", re.U)
 _STOP = re.compile(r"[.!?](?=\s|$)")
+_PIECE = re.compile(r"[.!?;\n]\s+|\n")
+_START = re.compile(r"\W*\w*")
+_DIGITS = re.compile(r"\d+")
+_NUMBER = re.compile(r"\d\d+")
 
 
 def source_name(c: str):
@@ -63,156 +71,292 @@ def bare(text: str, marks: re.Pattern = MARKS) -> tuple[str, bool]:
     return cut.rstrip(), cut != t
 
 
-def shape(s: str) -> str:
-    return re.sub(r"\d+", "9", s.lower())
+class Text:
+    """The form of a text whose signs are taken: runs of digits are one 9, small letters, with the places of words and
+    stops (from ``start`` on)."""
+
+    __slots__ = ("cased", "low", "starts", "ends", "stops")
+
+    def __init__(self, text: str, start: int = 0):
+        self.cased = _DIGITS.sub("9", text)
+        low = self.cased.lower()
+        self.low = low if len(low) == len(self.cased) else "".join(x.lower() if len(x.lower()) == 1 else x for x in self.cased)
+        spans = [m.span() for m in _WORD.finditer(self.low, start)]
+        self.starts, self.ends = [x for x, _ in spans], [x for _, x in spans]
+        self.stops = [m.start() for m in _STOP.finditer(self.low, start)]
+
+
+def crc(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
 class Words:
-    """How often words occur, how often they end a line or sentence, and what longer words begin with them."""
-
-    def __init__(self, texts: list[str]):
-        seen, last, pairs, lines = Counter(), Counter(), Counter(), Counter()
-        for t in texts:
-            for line in t.split("\n"):
-                line = line.strip()
-                if not line:
-                    continue
-                lines[shape(line)[-40:]] += 1
-                for s in re.split(r"(?<=[.!?;])\s+", line):
-                    w = _WORD.findall(shape(s))
-                    seen.update(w)
-                    if w:
-                        last[w[-1]] += 1
-                        pairs[" ".join(w[-2:])] += 1
-        self.seen, self.last = dict(seen.most_common(VOCABULARY)), dict(last.most_common(VOCABULARY))
-        self.pairs, self.lines = dict(pairs.most_common(VOCABULARY)), dict(lines.most_common(VOCABULARY))
-        longer: Counter = Counter()
-        for w, n in self.seen.items():
-            if n >= 3:
+    """How often words occur (SEEN), how often they (LAST) and their pairs (PAIRS) end a line or sentence, endings of lines
+    (LINES), and what longer words begin with a word (LONGER): counts of all texts, in tables of hashed keys.
+
+    An end is judged by what the other ends say: what it gave to the counts itself is taken off again. The last word of a
+    text of a significant length, which is probably cut, isn't counted.
+    """
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+        self.tables = [memoryview(c) for c in cells]
+        self.known: dict[tuple[str, int, int], tuple[int, int, list[int]]] = {}
+
+    def __reduce__(self):
+        return _unpacked, (zlib.compress(self.cells.tobytes(), 1),)
+
+    def count(self, kind: int, key: str, less: int = 0) -> int:
+        """Occurrences, without the ``less`` that the example itself gave."""
+        return max(0, self.tables[kind][crc(key) & (CELLS - 1)] - less)
+
+    def of(self, w: str, less_seen: int, less_last: int) -> tuple[int, int, list[int]]:
+        """Occurrences of a last word, those at an end, and the signs that follow from it alone."""
+        if (got := self.known.get((w, less_seen, less_last))) is None:
+            n, end, longer = self.count(SEEN, w, less_seen), self.count(LAST, w, less_last), self.count(LONGER, w)
+            f = [f"w={w}", f"n={_bucket(n)}", f"end={_bucket(end)},{_bucket(n)}", f"r={int(10 * end / (n + 1))}", f"long={_bucket(longer)},{_bucket(n)}", f"lr={int(8 * longer / (longer + n + 1))}"]
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            got = self.known[w, less_seen, less_last] = (n, end, hashed(f))
+        return got
+
+
+def _unpacked(cells: bytes) -> Words:
+    return Words(np.frombuffer(zlib.decompress(cells), np.int32).reshape(5, -1))
+
+
+def occurrences(text: str, limit: bool, seen: list[str], last: list[str], pairs: list[str], lines: list[str]) -> None:
+    """Add what a text (without end space and mark) gives to the counts of ``Words``; without its own end if ``limit``."""
+    low = _DIGITS.sub("9", text).lower()
+    pieces, rows = [_WORD.findall(x) for x in _PIECE.split(low)], low.split("\n")
+    if limit:
+        seen += pieces.pop()[:-1]
+        rows.pop()
+    for w in pieces:
+        if w:
+            seen += w
+            last.append(w[-1])
+            pairs.append(" ".join(w[-2:]))
+    lines += [x[-40:] for row in rows if (x := row.strip())]
+
+
+def counted(texts: DataFrame, marks: re.Pattern = MARKS) -> Words:
+    """The counts of a table (text, limit), all of it. Tasks count by key; the driver gets one number per filled cell."""
+    schema = "kind int, cell int, word string, n long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = [Counter() for _ in (SEEN, LAST, PAIRS, LINES)]
+
+        def told() -> pd.DataFrame:
+            rows = [(kind, crc(key) & (CELLS - 1), key if kind == SEEN else None, n) for kind, c in enumerate(kinds) for key, n in c.items()]
+            for c in kinds:
+                c.clear()
+            return pd.DataFrame(rows, columns=["kind", "cell", "word", "n"])
+
+        for b in batches:
+            found: list[list[str]] = [[] for _ in kinds]
+            for x, limit in zip(b["text"], b["limit"]):
+                occurrences(bare(x, marks)[0], limit, *found)
+            for c, keys in zip(kinds, found):
+                c.update(keys)
+            if sum(len(c) for c in kinds) >= REMEMBERED:
+                yield told()
+        yield told()
+
+    def beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            longer: Counter = Counter()
+            for w, n in zip(b["word"], b["n"]):
                 for i in range(1, min(len(w), 24)):
                     longer[w[:i]] += n
-        self.longer = dict(longer.most_common(2 * VOCABULARY))
-
-
-def _bucket(n: float) -> int:
-    return int(np.log2(n + 1))
-
-
-def signs(text: str, words: Words) -> list[str]:
-    """Features of how a text (without end space and mark) ends."""
-    head, _, line = text[-600:].rpartition("\n")
-    low = shape(line[-160:])
-    w = _WORD.findall(low)
-    tail = low[-1:]
-    w1, w2 = (w[-1] if w else ""), (w[-2] if len(w) > 1 else "")
-    inside = bool(tail) and (tail.isalnum() or tail in "_")
-    n, end, longer = words.seen.get(w1, 0), words.last.get(w1, 0), words.longer.get(w1, 0)
-    pair = words.pairs.get(f"{w2} {w1}".strip(), 0)
-    since = len(_WORD.findall(_STOP.split(low)[-1]))
-    prev = head.rstrip()[-1:] if head else ""
-    start = re.match(r"\W*\w*", low)
-    out = [f"e{k}={low[-k:]}" for k in (1, 2, 3, 4, 6, 9)]
-    out += [f"w={w1}", f"ww={w2} {w1}", f"in={inside}", f"n={_bucket(n)}", f"end={_bucket(end)},{_bucket(n)}", f"r={int(10 * end / (n + 1))}", f"pair={_bucket(pair)}", f"pair0={pair == 0},{end == 0},{n == 0}"]
-    out += [f"long={_bucket(longer)},{_bucket(n)}", f"lr={int(8 * longer / (longer + n + 1))}", f"line={_bucket(words.lines.get(low[-40:], 0))}", f"since={min(since, 12)}"]
-    out += [f"q={line.count(chr(34)) % 2},{line.count('(') > line.count(')')},{line.count('[') > line.count(']')}", f"prev={prev if not prev.isalnum() else 'a'},{tail if not tail.isalnum() else 'a'}", f"start={start.group(0)[:12] if start else ''}", f"sw={start.group(0)[:12] if start else ''} {w1}"]
-    out += [f"nl={min(len(low) // 12, 8)},{tail if not tail.isalnum() else 'a'}", f"tab={line.count(chr(9))}", f"case={text[-1:].isupper()},{len(w1) == 1}"]
-    return out
+            yield pd.DataFrame([(LONGER, crc(x) & (CELLS - 1), None, n) for x, n in longer.items()], columns=["kind", "cell", "word", "n"])
+
+    found = cut_table(texts.select("text", "limit").mapInPandas(run, schema).groupBy("kind", "cell", "word").agg(F.sum("n").alias("n")))
+    longer = found.where((F.col("kind") == SEEN) & (F.col("n") >= 3)).mapInPandas(beginnings, schema)
+    rows = found.unionByName(longer).groupBy("kind", "cell").agg(F.sum("n").alias("n")).select("kind", "cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    cells = np.zeros((5, CELLS), np.int32)
+    cells[rows["kind"].to_numpy(), rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    drop_table(found)
+    return Words(cells)
+
+
+def _bucket(n: int) -> int:
+    return (n + 1).bit_length() - 1
+
+
+def signs(t: Text, e: int, words: Words, less: tuple[int, int, int] = (0, 0, 0)) -> list[int]:
+    """Hashed features of how the first ``e`` characters end. ``less``: what that end itself gave to the counts of words, ends and lines."""
+    low = t.low
+    at = low.rfind("\n", max(0, e - 600), e) + 1
+    line = at or max(0, e - 600)
+    begin = max(line, e - 160)
+    prev = low[max(0, e - 600) : at].rstrip()[-1:] if at else ""
+    k, first = bisect_left(t.starts, e), bisect_left(t.starts, begin)
+    w1 = low[t.starts[k - 1] : min(t.ends[k - 1], e)] if k > first else ""
+    if w1 and e < t.ends[k - 1]:
+        w1 = w1.rstrip("-'’.")
+    w2 = low[t.starts[k - 2] : t.ends[k - 2]] if k - 1 > first else ""
+    tail = low[e - 1 : e] if e > begin else ""
+    kind = "a" if tail.isalnum() else tail
+    n, end, out = words.of(w1, less[0], less[1])
+    pair = words.count(PAIRS, f"{w2} {w1}".strip(), less[1])
+    if tail and tail in ".!?":
+        since = 0
+    else:
+        s = bisect_left(t.stops, e)
+        since = min(k - max(first, bisect_left(t.starts, t.stops[s - 1]) if s else 0), 12)
+    start = _START.match(low, begin, e).group(0)[:12]
+    f = [f"e{i}={low[max(begin, e - i) : e]}" for i in (1, 2, 3, 4, 6, 9)]
+    f += (
+        f"ww={w2} {w1}",
+        f"in={kind == 'a' or tail == '_'}",
+        f"pair={_bucket(pair)}",
+        f"pair0={pair == 0},{end == 0},{n == 0}",
+        f"line={_bucket(words.count(LINES, low[max(begin, e - 40) : e].lstrip() if begin + 40 >= e else low[e - 40 : e], less[2]))}",
+        f"since={since}",
+        f"q={low.count(chr(34), line, e) % 2},{low.count('(', line, e) > low.count(')', line, e)},{low.count('[', line, e) > low.count(']', line, e)}",
+        f"prev={'a' if prev.isalnum() else prev},{kind}",
+        f"start={start}",
+        f"sw={start} {w1}",
+        f"nl={min((e - begin) // 12, 8)},{kind}",
+        f"tab={low.count(chr(9), line, e)}",
+        f"case={t.cased[e - 1 : e].isupper()},{len(w1) == 1}",
+    )
+    return out + hashed(f)
+
+
+class _Hashes(dict):
+    def __missing__(self, f: str) -> int:
+        x = crc(f) & ((1 << BITS) - 1)
+        if len(self) < REMEMBERED:
+            self[f] = x
+        return x
+
+
+_HASHES = _Hashes()
 
 
 def hashed(features: list[str]) -> list[int]:
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for f in features]
+    return [_HASHES[f] for f in features]
 
 
-def examples(text: str, words: Words, is_whole: bool, seed: int = 11) -> list[tuple[list[int], int]]:
-    """(features, cut or not) of the examples that a text gives: its own end if ``is_whole``, line and sentence ends, random cuts.
+def examples(text: str, words: Words, is_whole: bool, seed: int = 11) -> list[tuple[list[int], int, bool]]:
+    """(features, cut or not, own end or not) of the examples that a text gives: its own end if ``is_whole``, line and sentence ends, random cuts.
     The choice depends on the text alone, not on where or when it is read."""
-    r = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) ^ seed)
-    out: list[tuple[list[int], int]] = []
-
-    def example(t: str, y: int) -> None:
-        if len(t) >= 4:
-            out.append((hashed(signs(t, words)), y))
+    r = random.Random(crc(text) ^ seed)
+    out: list[tuple[list[int], int, bool]] = []
+    t, size = Text(text), len(text)
+    numbers = [m.span() for m in _NUMBER.finditer(text)]
+    begins, lost = [x for x, _ in numbers], [0, *accumulate(y - x - 1 for x, y in numbers)]
+    counted = int(is_whole)
+
+    def example(e: int, y: int, less: tuple[int, int, int] | None = (0, 0, 0), own: bool = False) -> None:
+        if e < 4:
+            return
+        i = bisect_left(begins, e)
+        e -= lost[i] if not i or e >= numbers[i - 1][1] else lost[i - 1] + e - begins[i - 1] - 1
+        if less is None:  # a cut gives nothing but its last word, if that is whole
+            k = bisect_left(t.starts, e)
+            less = (int(0 < k < len(t.starts) + counted and t.ends[k - 1] <= e), 0, 0)
+        out.append((signs(t, e, words, less), y, own))
 
     if is_whole:
-        example(text, 0)
+        example(size, 0, (1, 1, 1), True)
         out += out[-1:]  # counts twice
     ends = [m.start() for m in _STOP.finditer(text)]
     for e in r.sample(ends, min(2, len(ends))):
-        example(text[: e + r.randint(0, 1)], 0)
+        stop = r.randint(0, 1)
+        example(e + stop, 0, (1, 1, 0) if e + 1 < size else (counted, counted, counted * stop))
     breaks = [i for i, c in enumerate(text) if c == "\n"]
     for e in r.sample(breaks, min(2, len(breaks))):
-        example(text[:e].rstrip(), 0)
+        example(len(text[:e].rstrip()), 0, (1, 1, 1))
     stops = set(ends) | {e + 1 for e in ends} | set(breaks)
     for _ in range(5):
-        e = r.randint(4, max(4, len(text) - 2))
-        c = text[:e].rstrip()
-        if len(c) not in stops:
-            example(c, 1)
+        e = len(text[: r.randint(4, max(4, size - 2))].rstrip())
+        if e not in stops:
+            example(e, 1, None)
     return out
 
 
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 11, epochs: int = 4, step: float = 0.15, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic model of hashed signs."""
+    w, g2, grad = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), np.zeros(1 << BITS)
+    if not len(x):
+        return w, -5.0
+    y, rng, b = y.astype(np.float64), np.random.default_rng(seed), 0.0
+    for _ in range(epochs):
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), 256):
+            i = order[at : at + 256]
+            f = x[i].ravel()
+            before = w[f]
+            err = (1 / (1 + np.exp(-(before.reshape(len(i), -1).sum(1) + b))) - y[i]) / len(i)
+            np.add.at(grad, f, np.repeat(err, x.shape[1]))
+            g = grad[f] + ridge * before
+            grad[f] = 0
+            g2[f] = sum2 = g2[f] + g * g  # a feature that stands in f twice gets the same value twice
+            w[f] = before - step * g / np.sqrt(sum2)
+            b -= 0.5 * err.sum()
+    # log odds of the examples' classes are taken out: the caller adds its own prior
+    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    return w, float(b - np.log(share / (1 - share)))
+
+
 class EndingModel:
     """Log odds that a text breaks off, of hashed signs."""
 
-    def __init__(self, words: Words, x: np.ndarray, y: np.ndarray, seed: int = 11):
-        self.words = words
-        self.weights, self.offset = self._fit(x, y.astype(np.float64), seed)
-
-    @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 4, step: float = 0.15, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-        w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-        if not len(x):
-            return w, -5.0
-        rng, b = np.random.default_rng(seed), 0.0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), 256):
-                i = order[at : at + 256]
-                p = 1 / (1 + np.exp(-(w[x[i]].sum(1) + b)))
-                err = (p - y[i]) / len(i)
-                touched, where = np.unique(x[i].ravel(), return_inverse=True)
-                grad = np.bincount(where, np.repeat(err, x.shape[1]), len(touched)) + ridge * w[touched]
-                g2[touched] += grad * grad
-                w[touched] -= step * grad / np.sqrt(g2[touched])
-                b -= 0.5 * err.sum()
-        # log odds of the sample's classes are taken out: the caller adds its own prior
-        share = min(max(y.mean(), 1e-6), 1 - 1e-6)
-        return w, float(b - np.log(share / (1 - share)))
-
-    def log_odds(self, text: str) -> float:
-        """Log of the likelihood ratio that the text (without end space and mark) breaks off."""
-        return float(self.weights[hashed(signs(text, self.words))].sum() + self.offset)
-
-
-def fitted(sample: DataFrame, marks: re.Pattern = MARKS, doubtful: float = DOUBTFUL) -> EndingModel:
-    """The model of a bounded table (key, text). Signs are taken where the rows lie; the driver only counts words and fits.
-
-    Some of the sample's own ends are cuts; those that look like it are no examples of whole texts in the second of two fits.
-    """
-    spark = sample.sparkSession
-    texts = sample.select(F.xxhash64("key", "text").alias("h"), "text").toPandas().sort_values("h", kind="stable")["text"].tolist()
-    texts = [t for t in (bare(x, marks)[0] for x in texts) if len(t) >= 8]
-    spread = sample.repartition(partitions(spark), "key")
+    def __init__(self, words: Words, weights: np.ndarray, offset: float):
+        self.words, self.weights, self.offset = words, weights, offset
 
-    def taught(words: Words, before: EndingModel | None) -> EndingModel:
-        known = spark.sparkContext.broadcast((words, before))
+    def log_odds(self, text: str, limit: bool = False) -> float:
+        """Log of the likelihood ratio that the text (without end space and mark; one of those counted) breaks off."""
+        t = Text(text[-1200:], max(0, min(len(text), 1200) - 400))
+        return float(self.weights[signs(t, len(t.low), self.words, (0, 0, 0) if limit else (1, 1, 1))].sum() + self.offset)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, before = known.value
-            for b in batches:
-                out = []
-                for h, x in zip(b["h"], b["text"]):
-                    if len(t := bare(x, marks)[0]) >= 8:
-                        out += [(h, i, f, y) for i, (f, y) in enumerate(examples(t, words, before is None or before.log_odds(t) < doubtful))]
-                yield pd.DataFrame(out, columns=["h", "i", "x", "y"])
 
-        rows = spread.select(F.xxhash64("key", "text").alias("h"), "text").mapInPandas(run, "h long, i int, x array<int>, y int").toArrow().to_pandas()
-        known.unpersist()
-        rows = rows.sort_values(["h", "i"], kind="stable")
-        return EndingModel(words, np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, 1), int), rows["y"].to_numpy())
+def fitted(texts: DataFrame, n: int, marks: re.Pattern = MARKS, doubtful: float = DOUBTFUL) -> EndingModel:
+    """The model of a table (key, text, limit) of some ``n`` rows. All rows are counted, and all are fitted: in parts of some PART
+    texts where they lie. A weight is the mean over the parts, by how many examples of a part have the sign.
 
-    first = taught(Words(texts), None)
-    return taught(Words([t if first.log_odds(t) < doubtful else t.rpartition("\n")[0] for t in texts]), first)
+    The own ends of texts of a significant length (``limit``) are no examples. Some of the other texts' ends are cuts as
+    well; those that look like it to a part's first fit are no examples in the second.
+    """
+    spark = texts.sparkSession
+    words = counted(texts, marks)
+    known = spark.sparkContext.broadcast(words)
+
+    def taught(part: list[tuple[str, bool]]) -> pd.DataFrame:
+        rows = [e for text, limit in part for e in examples(text, known.value, not limit)]
+        x = np.array([e[0] for e in rows], np.int32).reshape(len(rows), -1)
+        y, own = np.array([e[1] for e in rows], np.int8), np.array([e[2] for e in rows], bool)
+        w, b = fit(x, y)
+        keep = np.ones(len(rows), bool)
+        keep[own] = w[x[own]].sum(1) + b < doubtful
+        x, y = x[keep], y[keep]
+        w, b = fit(x, y)
+        mass = np.bincount(x.ravel(), minlength=1 << BITS)
+        f = np.flatnonzero(mass)
+        weights, mass = np.append(w[f], b), np.append(mass[f], len(x))
+        # whole numbers: their sums don't depend on the order
+        return pd.DataFrame({"feature": np.append(f, -1).astype(np.int32), "mass": mass, "weight": np.rint(weights * 2**24).astype(np.int64) * mass})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part: list[tuple[str, bool]] = []
+        for b in batches:
+            part += [(t, limit) for x, limit in zip(b["text"], b["limit"]) if len(t := bare(x, marks)[0]) >= 8]
+            if len(part) >= 3 * PART:
+                yield taught(part[:PART])
+                part = part[PART:]
+        if part:
+            yield taught(part)
+
+    spread = texts.select(F.xxhash64("key", "text").alias("h"), "text", "limit").repartition(max(1, -(-n // PART)), "h").sortWithinPartitions("h")
+    rows = spread.mapInPandas(run, "feature int, mass long, weight long").groupBy("feature").agg((F.sum(F.col("weight").cast("decimal(38,0)")).cast("double") / F.sum("mass") / 2**24).alias("w")).toArrow()
+    known.unpersist()
+    weights, f = np.zeros(1 << BITS), rows["feature"].to_numpy()
+    w = rows["w"].to_numpy()
+    weights[f[f >= 0]] = w[f >= 0]
+    return EndingModel(words, weights, float(w[f < 0][0]) if (f < 0).any() else -5.0)
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -246,28 +390,27 @@ def lengths(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, key: str, text: str, source: str, elsewhere: float = ELSEWHERE, marks: re.Pattern = MARKS, doubtful: float = DOUBTFUL) -> DataFrame:
     """(key, src, len, prior, mark, log_odds, is_cut) of every text.
 
-    Texts are scanned twice: once for a narrow table of lengths, which also keeps the sample's texts, and once to be judged.
+    Texts are scanned for a narrow table of lengths, to count words, to fit the model and to be judged.
     ``elsewhere`` is the prior share of texts that a transfer cut at any length, ``marks`` what may stand in place of the loss.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("key"), source_name(source).alias("src"), F.length(F.col(f"`{text}`")).alias("len"), F.col(f"`{text}`").alias("text"))
-    step = max(1, -(-docs.count() // SAMPLE))
-    chosen = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(step)) == 0
     filled = rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
-    narrow = cut_table(filled.select("key", "src", "len", F.when(chosen, F.col("text")).alias("text")))
+    narrow = cut_table(filled.select("src", "len"))
     prior = cut_table(lengths(narrow))
-    sample = cut_table(narrow.where("text is not null").join(prior.select("src", "len"), ["src", "len"], "left_anti").select("key", "text").limit(2 * SAMPLE))
-    model = spark.sparkContext.broadcast(fitted(sample, marks, doubtful))
+    limits = prior.select("src", "len", F.lit(True).alias("limit"))
+    texts = filled.join(limits, ["src", "len"], "left").select("key", "text", F.coalesce("limit", F.lit(False)).alias("limit"))
+    model = spark.sparkContext.broadcast(fitted(texts, narrow.count(), marks, doubtful))
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for b in batches:
             ends = [bare(t or "", marks) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "src": b["src"], "len": b["len"], "mark": [e[1] for e in ends], "log_odds": [m.log_odds(e[0]) if e[0] else -99.0 for e in ends]})
+            odds = [m.log_odds(e[0], limit) if e[0] else -99.0 for e, limit in zip(ends, b["prior"].notna())]
+            yield pd.DataFrame({"key": b["key"], "src": b["src"], "len": b["len"], "prior": b["prior"], "mark": [e[1] for e in ends], "log_odds": odds})
 
-    scored = rows.mapInPandas(run, f"key {kind}, src string, len int, mark boolean, log_odds double")
-    out = scored.join(prior, ["src", "len"], "left")
+    out = rows.join(prior, ["src", "len"], "left").select("key", "src", "len", "prior", "text").mapInPandas(run, f"key {kind}, src string, len int, prior double, mark boolean, log_odds double")
     p = F.least(F.lit(0.98), F.greatest(F.coalesce("prior", F.lit(0.0)), F.when(F.col("mark"), F.lit(0.9)).otherwise(F.lit(elsewhere))))
     return out.withColumn("is_cut", F.col("log_odds") + F.log(p / (1 - p)) > 0).select(F.col("key").alias(key), "src", "len", "prior", "mark", "log_odds", "is_cut")
 

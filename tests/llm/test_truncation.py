@@ -80,3 +80,32 @@ def test_marks():
     assert truncation.bare("a" * 900 + " …") == ("a" * 900, True)
     assert truncation.bare("one two… ") == ("one two", True)
     assert truncation.bare("one two (end of entry)") == ("one two (end of entry)", False)
+
+
+def test_all_texts_are_counted_and_fitted(spark, monkeypatch):
+    """Each text has a word of its own at a line's end; counts and weights know them all, however many fit in a part."""
+    monkeypatch.setattr(truncation, "SAMPLE", 40, raising=False)
+    monkeypatch.setattr(truncation, "PART", 40, raising=False)
+    models, fitted = [], truncation.fitted
+    monkeypatch.setattr(truncation, "fitted", lambda *a, **k: models.append(fitted(*a, **k)) or models[-1])
+    r = random.Random(5)
+    own = ["".join(r.choice("abcdefghijklmnoprstuvz") for _ in range(9)) for _ in range(400)]
+    rows = [(i, f"{sentence(r)[:-1]} {w}\n{' '.join(sentence(r) for _ in range(1 + i % 40))}", "desk") for i, w in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odds = [{x.doc_id: x.log_odds for x in truncation.judged(df.repartition(n), "doc_id", "text", "source").collect()} for n in (1, 7)]
+    assert all(m.weights[truncation.hashed([f"w={w}"])[0]] != 0 for m in models for w in own)
+    assert all(models[0].words.count(kind, w) == 1 for kind in (truncation.SEEN, truncation.LAST) for w in own)
+    assert odds[0] == odds[1] and len(odds[0]) == 400
+
+
+def test_an_end_does_not_speak_for_itself(spark):
+    """A text that breaks off within a word stays a cut if its own end is among the counts."""
+    text = sentence(random.Random(1)) + " The third tran"
+    words = truncation.counted(spark.createDataFrame([(text, False)] + [(text, True)] * 2 + [("A small tran", False)], "text string, limit boolean"))
+    assert words.count(truncation.SEEN, "tran") == 2 and words.count(truncation.LINES, "a small tran") == 1
+    t = truncation.Text(text)
+    assert truncation.signs(t, len(t.low), words, (1, 1, 1)) != truncation.signs(t, len(t.low), words)
+    alone = truncation.counted(spark.createDataFrame([("A small tran", False)], "text string, limit boolean"))
+    none = truncation.Words(alone.cells * 0)
+    t = truncation.Text("A small tran")
+    assert truncation.signs(t, 12, alone, (1, 1, 1)) == truncation.signs(t, 12, none)
