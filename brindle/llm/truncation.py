@@ -14,7 +14,7 @@ incomplete one anywhere (transfers break off at any length). A mark that stands
 taken off before the ending is judged.
 
 Defined cases: null, empty and blank texts are whole; sources are compared without case and outer white space, a
-null source is the source ''; repeated texts are judged row by row; texts are read whole.
+null source is the source ''; repeated texts are judged row by row, but count once (copies of a cut would speak for it); texts are read whole.
 """
 
 from __future__ import annotations
@@ -315,7 +315,7 @@ class EndingModel:
 
 
 def fitted(texts: DataFrame, n: int, marks: re.Pattern = MARKS, doubtful: float = DOUBTFUL) -> EndingModel:
-    """The model of a table (key, text, limit) of some ``n`` rows. All rows are counted, and all are fitted: in parts of some PART
+    """The model of a table (text, limit) of some ``n`` different texts. All rows are counted, and all are fitted: in parts of some PART
     texts where they lie. A weight is the mean over the parts, by how many examples of a part have the sign.
 
     The own ends of texts of a significant length (``limit``) are no examples. Some of the other texts' ends are cuts as
@@ -350,7 +350,7 @@ def fitted(texts: DataFrame, n: int, marks: re.Pattern = MARKS, doubtful: float
         if part:
             yield taught(part)
 
-    spread = texts.select(F.xxhash64("key", "text").alias("h"), "text", "limit").repartition(max(1, -(-n // PART)), "h").sortWithinPartitions("h")
+    spread = texts.select(F.xxhash64("text").alias("h"), "text", "limit").repartition(max(1, -(-n // PART)), "h").sortWithinPartitions("h")
     rows = spread.mapInPandas(run, "feature int, mass long, weight long").groupBy("feature").agg((F.sum(F.col("weight").cast("decimal(38,0)")).cast("double") / F.sum("mass") / 2**24).alias("w")).toArrow()
     known.unpersist()
     weights, f = np.zeros(1 << BITS), rows["feature"].to_numpy()
@@ -399,8 +399,10 @@ def judged(docs: DataFrame, key: str, text: str, source: str, elsewhere: float =
     narrow = cut_table(filled.select("src", "len"))
     prior = cut_table(lengths(narrow))
     limits = prior.select("src", "len", F.lit(True).alias("limit"))
-    texts = filled.join(limits, ["src", "len"], "left").select("key", "text", F.coalesce("limit", F.lit(False)).alias("limit"))
-    model = spark.sparkContext.broadcast(fitted(texts, narrow.count(), marks, doubtful))
+    texts = filled.join(limits, ["src", "len"], "left").groupBy("text").agg(F.coalesce(F.max("limit"), F.lit(False)).alias("limit"))
+    texts = cut_table(texts)
+    model = spark.sparkContext.broadcast(fitted(texts, texts.count(), marks, doubtful))
+    drop_table(texts)
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

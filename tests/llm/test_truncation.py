@@ -109,3 +109,14 @@ def test_an_end_does_not_speak_for_itself(spark):
     none = truncation.Words(alone.cells * 0)
     t = truncation.Text("A small tran")
     assert truncation.signs(t, 12, alone, (1, 1, 1)) == truncation.signs(t, 12, none)
+
+
+def test_copies_count_once(spark, monkeypatch):
+    """Copies of a cut text would show its broken word as one that others have."""
+    models, fitted = [], truncation.fitted
+    monkeypatch.setattr(truncation, "fitted", lambda *a, **k: models.append(fitted(*a, **k)) or models[-1])
+    r = random.Random(7)
+    texts = [("The third tranqx. " if i == 3 else "") + " ".join(sentence(r) for _ in range(1 + i % 30)) for i in range(60)]
+    rows = [(i + 100 * k, t, "desk") for i, t in enumerate(texts) for k in range(3)]
+    assert truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 180
+    assert models[0].words.count(truncation.SEEN, "tranqx") == 1 and models[0].words.count(truncation.LAST, "tranqx") == 1
